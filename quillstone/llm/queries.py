@@ -29,3 +29,18 @@ def op6_token_files(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op6_token_files)}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def op3_fingerprints(spark, sf_dir):
+    from quillstone.llm.fingerprint import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op8_pii(spark, sf_dir):
+    from quillstone.llm.pii import find
+
+    return find(table(spark, sf_dir, "documents")).drop("all_spans")
+
+
+QUERIES |= {f.__name__: f for f in (op3_fingerprints, op8_pii)}
