@@ -44,3 +44,12 @@ def op8_pii(spark, sf_dir):
 
 
 QUERIES |= {f.__name__: f for f in (op3_fingerprints, op8_pii)}
+
+
+def op10_language_id(spark, sf_dir):
+    from quillstone.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES[op10_language_id.__name__] = op10_language_id
