@@ -53,3 +53,12 @@ def op10_language_id(spark, sf_dir):
 
 
 QUERIES[op10_language_id.__name__] = op10_language_id
+
+
+def op7_ngram_jaccard_join(spark, sf_dir):
+    from quillstone.llm.ngramjoin import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
+QUERIES[op7_ngram_jaccard_join.__name__] = op7_ngram_jaccard_join
