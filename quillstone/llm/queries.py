@@ -62,3 +62,18 @@ def op7_ngram_jaccard_join(spark, sf_dir):
 
 
 QUERIES[op7_ngram_jaccard_join.__name__] = op7_ngram_jaccard_join
+
+
+def op5_decontamination(spark, sf_dir):
+    from quillstone.llm.decontam import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_url_filters(spark, sf_dir):
+    from quillstone.llm.urlfilter import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
+QUERIES |= {f.__name__: f for f in (op5_decontamination, op9_url_filters)}
