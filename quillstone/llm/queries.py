@@ -77,3 +77,12 @@ def op9_url_filters(spark, sf_dir):
 
 
 QUERIES |= {f.__name__: f for f in (op5_decontamination, op9_url_filters)}
+
+
+def op4_suffix_array_dedup(spark, sf_dir):
+    from quillstone.llm.suffixdedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
+QUERIES[op4_suffix_array_dedup.__name__] = op4_suffix_array_dedup
