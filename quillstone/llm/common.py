@@ -63,3 +63,14 @@ def partitions(spark: SparkSession) -> int:
 
 def text_or_empty(c: str = "text"):
     return F.coalesce(F.col(c), F.lit(""))
+
+
+def keep_rows(df: DataFrame, text_col: str, test) -> DataFrame:
+    """Rows of df whose text passes test(texts) -> booleans; null texts are given as empty."""
+    at = df.columns.index(text_col)
+
+    def keep(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(test([t or "" for t in batch.column(at).to_pylist()]), pa.bool_()))
+
+    return df.mapInArrow(keep, df.schema)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import flat
-from quillstone.llm.common import id_texts, slices
+from quillstone.llm.common import id_texts, keep_rows, slices
 
 MIN_TILE, THRESHOLD = 5, 0.5
 #: Code points of benchmark text in a block, at most, but for a single longer item.
@@ -137,27 +137,51 @@ class Index:
         return out
 
 
+def _covered(index: Index, texts: list[str]) -> tuple[list[list[int]], list[list[float]]]:
+    """Of each text, the items that share a run with it and their coverage."""
+    items: list[list] = [[] for _ in texts]
+    cover: list[list] = [[] for _ in texts]
+    for lo, hi in slices(texts, 1_000_000):
+        w = flat.words_of(texts[lo:hi])
+        h = flat.hashes(w)
+        grams, doc = flat.shingles(h, w.bounds, index.min_tile)
+        hits = index.hits(grams)
+        first = np.searchsorted(doc, np.arange(hi - lo))
+        for d in np.unique(doc[hits]).tolist():
+            own = hits[doc[hits] == d]
+            got = index.covers(h[w.bounds[d] : w.bounds[d + 1]], own - first[d], grams[first[d] :])
+            items[lo + d], cover[lo + d] = [i for i, _, _ in got], [c for _, c, _ in got]
+    return items, cover
+
+
 def _scan(docs: DataFrame, index: Index, kind: str) -> DataFrame:
     def scan(batches):
         for batch in batches:
-            ids, texts = id_texts(batch)
-            items: list[list] = [[] for _ in texts]
-            cover: list[list] = [[] for _ in texts]
-            for lo, hi in slices(texts, 1_000_000):
-                w = flat.words_of(texts[lo:hi])
-                h = flat.hashes(w)
-                grams, doc = flat.shingles(h, w.bounds, index.min_tile)
-                hits = index.hits(grams)
-                first = np.searchsorted(doc, np.arange(hi - lo))
-                for d in np.unique(doc[hits]).tolist():
-                    own = hits[doc[hits] == d]
-                    got = index.covers(h[w.bounds[d] : w.bounds[d + 1]], own - first[d], grams[first[d] :])
-                    items[lo + d], cover[lo + d] = [i for i, _, _ in got], [c for _, c, _ in got]
+            items, cover = _covered(index, id_texts(batch)[1])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(items, pa.list_(pa.int64())), pa.array(cover, pa.list_(pa.float64()))], names=["id", "row", "items", "cover"])
 
     return docs.mapInArrow(scan, f"id {kind}, row long, items array<long>, cover array<double>")
 
 
+def _indexes(benchmark: DataFrame, min_tile: int, item_col: str, item_text: str):
+    """An index of each block of the benchmark."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).filter("i is not null and t is not null")
+    total = items.agg(F.sum(F.char_length("t"))).first()[0] or 0
+    blocks = max(1, -(-total // BLOCK_POINTS))
+    for b in range(blocks):
+        block = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b) if blocks > 1 else items
+        yield Index(sorted((r["i"], r["t"]) for r in block.toLocalIterator()), min_tile)
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, min_tile: int = MIN_TILE, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs that cover no benchmark item up to threshold, columns unchanged."""
+
+    def clean(index):
+        return lambda texts: [max(c, default=0) < threshold for c in _covered(index, texts)[1]]
+
+    return reduce(lambda df, index: keep_rows(df, text_col, clean(index)), _indexes(benchmark, min_tile, item_col, item_text), docs)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, min_tile: int = MIN_TILE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per row of docs: id, item_ids, coverage, contaminated.
 
@@ -166,16 +190,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     fewer than min_tile words or without id are never matched; equal items each count;
     repeated rows and null ids stay; other columns are not read.
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).filter("i is not null and t is not null")
-    total = items.agg(F.sum(F.char_length("t"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_POINTS))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
     kind = rows.schema["id"].dataType.simpleString()
-    found = []
-    for b in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b) if blocks > 1 else items
-        found.append(_scan(rows, Index(sorted((r["i"], r["t"]) for r in block.toLocalIterator()), min_tile), kind))
-    if blocks == 1:
+    found = [_scan(rows, index, kind) for index in _indexes(benchmark, min_tile, item_col, item_text)]
+    if len(found) == 1:
         all_found = found[0]
     else:
         merged = reduce(DataFrame.unionAll, found).groupBy("row", "id")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import flat
-from quillstone.llm.common import id_texts, slices
+from quillstone.llm.common import id_texts, keep_rows, slices
 
 BUCKETS, SWITCH, FLOOR = 1 << 15, 6.0, -12.0
 #: First code point of each script range (fixed values); 0 is everything else.
@@ -197,6 +197,15 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
+def keep_identified(docs: DataFrame, least_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs with a language that labels at least least_score of their letters, columns unchanged.
+
+    What goes: null texts, texts without a letter, and mixtures in which no language leads so far.
+    """
+    model = train(docs.filter(F.col(id_col).isNotNull() & ~held_out(id_col)), lang_col=lang_col, text_col=text_col, id_col=id_col)
+    return keep_rows(docs, text_col, lambda texts: [lang != "und" and score >= least_score for lang, score in zip(*predict(model, texts))])
+
+
 def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per row of docs: id, held_out, lang_pred, score.
 

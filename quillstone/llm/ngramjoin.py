@@ -15,7 +15,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm import flat
@@ -43,7 +43,7 @@ def _constants(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: rid (unique once written), id, n (distinct n-grams), k1, k2 (of the set), bands, grams (sorted uint32)."""
+    """Per row: rid (unique once written), id, th (of the text), n (distinct n-grams), k1, k2 (of the set), bands, grams (sorted uint32)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def sign(batches):
@@ -87,17 +87,18 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int, id_col: str, text
                     [
                         pa.array([next(rids) for _ in out], pa.int64()),
                         batch.column(0)[lo:hi],
+                        batch.column(2)[lo:hi],
                         pa.array([x[0] for x in out], pa.int32()),
                         pa.array([signed(x[1]) for x in out], pa.int64()),
                         pa.array([signed(x[2]) for x in out], pa.int64()),
                         pa.array([x[3] for x in out], pa.list_(pa.int64())),
                         pa.array([x[4] for x in out], pa.binary()),
                     ],
-                    names=["rid", "id", "n", "k1", "k2", "bands", "grams"],
+                    names=["rid", "id", "th", "n", "k1", "k2", "bands", "grams"],
                 )
 
-    rows_in = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows_in.mapInArrow(sign, f"rid long, id {kind}, n int, k1 long, k2 long, bands array<long>, grams binary")
+    rows_in = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
+    return rows_in.mapInArrow(sign, f"rid long, id {kind}, th long, n int, k1 long, k2 long, bands array<long>, grams binary")
 
 
 def _links(sets: list[np.ndarray], tiles: np.ndarray, pair: tuple[int, int], threshold: float):
@@ -162,6 +163,20 @@ def _verify(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(verify, "rid long, root long, n long")
 
 
+def keep_first(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each class of jaccard_join, columns unchanged: that of the least id."""
+    joined = written(_joined(docs, threshold, n, id_col, text_col, TILE), "ngram-joined")
+    firsts = joined.filter("is_first").groupBy("id", "th").agg(F.count("*").alias("stay"))
+    again = joined.groupBy("id", "th").count().filter("count > 1")
+    columns = [F.col(f"d.{c}") for c in docs.columns]
+    of = docs.withColumn("_th", F.xxhash64(text_col)).alias("d").join(firsts.alias("f"), F.col(f"d.{id_col}").eqNullSafe(F.col("f.id")) & (F.col("d._th") == F.col("f.th")))
+    if again.isEmpty():
+        return of.select(columns)
+    # rows that repeat both id and text: as many stay as are first of a class
+    by = Window.partitionBy(f"d.{id_col}", "d._th").orderBy("d._th")
+    return of.withColumn("_nth", F.row_number().over(by)).filter("_nth <= stay").select(columns)
+
+
 def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
     """One row per row of docs: id, class_id, copy_of, n_links, n_copies, is_first.
 
@@ -173,6 +188,10 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col: st
     Repeated rows are copies; null ids count as least of all only where no other id is there.
     Sets are compared by 32-bit n-gram hashes. Other columns are not read.
     """
+    return _joined(docs, threshold, n, id_col, text_col, tile).drop("th").withColumnRenamed("id", id_col)
+
+
+def _joined(docs: DataFrame, threshold: float, n: int, id_col: str, text_col: str, tile: int) -> DataFrame:
     spark = docs.sparkSession
     bands, rows = bands_for(threshold)
     base = written(signatures(docs, n, bands, rows, id_col, text_col), "ngram-signatures")
@@ -205,9 +224,10 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col: st
     per_set = per_set.join(of_root, "root")
     first = some.join(per_set.select("k1", "k2", "root", "class_id"), ["k1", "k2"]).groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "rid")).alias("f"))
     per_set = per_set.join(first.select("root", F.col("f.rid").alias("first_rid")), "root").select("k1", "k2", "class_id", "copy_of", "n_links", "n_copies", "first_rid")
-    out = base.select("rid", "id", "n", "k1", "k2").join(per_set, ["k1", "k2"], "left")
+    out = base.select("rid", "id", "th", "k1", "k2").join(per_set, ["k1", "k2"], "left")
     return out.select(
-        F.col("id").alias(id_col),
+        "id",
+        "th",
         F.coalesce("class_id", "id").alias("class_id"),
         F.coalesce("copy_of", "id").alias("copy_of"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

@@ -104,13 +104,13 @@ def bootstrap(found: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Written: rid, id, a column per kind and `tokens`, without the texts."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("rid", F.monotonically_increasing_id())
+    """Written: rid, id, th (of the text), a column per kind and `tokens`, without the texts."""
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumns({"rid": F.monotonically_increasing_id(), "th": F.xxhash64("text")})
     rows = _placed(base_spans(rows, "text"), "text", TOKEN, "[0-9@]", "tokens")
     core = r"regexp_replace(regexp_replace(x.match, r'^[^\p{L}\p{N}+]+', ''), r'[^\p{L}\p{N}]+$', '')"
     lead = r"length(regexp_extract(x.match, r'^[^\p{L}\p{N}+]+', 0))"
     tokens = f"filter(transform(tokens, x -> named_struct('core', {core}, 'start', x.start + {lead}, 'cue', {_cue('x.before')})), x -> x.cue != '' and length(x.core) >= 5 and x.core rlike '[0-9]')"
-    return written(rows.withColumn("tokens", F.expr(tokens)).select("rid", "id", *KINDS, "tokens"), "pii-scan")
+    return written(rows.withColumn("tokens", F.expr(tokens)).select("rid", "id", "th", *KINDS, "tokens"), "pii-scan")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,6 +120,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     kind, then start. Null text counts as empty: no spans; repeated rows and null ids stay;
     other columns are not read; an empty table gives no rows.
     """
+    return _found(docs, id_col, text_col).drop("th").withColumnRenamed("id", id_col)
+
+
+def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     found = scan(docs, id_col, text_col)
     learned = bootstrap(found)
     places = found.select("rid", F.explode("tokens").alias("x"), F.expr(f"concat({', '.join(f'transform({k}, y -> named_struct(\'start\', y.start, \'end\', y.end))' for k in KINDS)})").alias("base"))
@@ -134,7 +138,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     per_kind = ", ".join(f"if(size(added) > 0, array_sort(concat(b_{k}, filter(added, x -> x.kind = '{k}')), (l, r) -> l.start - r.start), b_{k})" for k in KINDS)
     out = out.withColumn("all_spans", F.expr(f"concat({per_kind})"))
     return out.select(
-        F.col("id").alias(id_col),
+        "id",
+        "th",
         *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS),
         F.sha2(F.expr(_as_text("base")), 256).alias("base_sha256"),
         F.expr(_as_text("all_spans")).alias("spans"),
@@ -147,3 +152,14 @@ def masked(text: str, spans: str) -> str:
     """SQL of the text with each span replaced by [KIND]; overlapping spans become one."""
     step = f"if(x.start >= a.at, named_struct('at', x.end, 'out', concat(a.out, substring({text}, a.at + 1, x.start - a.at), '[', upper(x.kind), ']')), named_struct('at', greatest(a.at, x.end), 'out', a.out))"
     return f"aggregate(array_sort({spans}, (l, r) -> if(l.start != r.start, l.start - r.start, r.end - l.end)), named_struct('at', 0, 'out', ''), (a, x) -> {step}, a -> concat(a.out, substring({text}, a.at + 1)))"
+
+
+def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    """docs with every span, base and added, replaced by its kind in brackets; chars_col, if there, is counted anew."""
+    spans = _found(docs, id_col, text_col).filter("size(all_spans) > 0").groupBy("id", "th").agg(F.first("all_spans").alias("all_spans"))
+    of = docs.withColumn("_th", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).alias("d")
+    of = of.join(spans.alias("s"), F.col(f"d.{id_col}").eqNullSafe(F.col("s.id")) & (F.col("d._th") == F.col("s.th")), "left")
+    text = F.expr(f"if(s.all_spans is null, d.{text_col}, {masked(f'd.{text_col}', 's.all_spans')})")
+    out = of.withColumn("_text", text)
+    new = {text_col: F.col("_text"), **({chars_col: F.when(F.col("s.all_spans").isNull(), F.col(f"d.{chars_col}")).otherwise(F.char_length("_text")).cast(docs.schema[chars_col].dataType)} if chars_col in docs.columns else {})}
+    return out.select([new.get(c, F.col(f"d.{c}")).alias(c) for c in docs.columns])
