@@ -1,0 +1,171 @@
+import collections
+import random
+
+import pytest
+
+from quillstone.functions import Type, col, lit
+from quillstone.operators import Aggregate, Named, SortKey, aggregate, filter_rows, inner_join, limit_rows, project, sort_rows
+from quillstone.plans.explain import explain
+from quillstone.sources import MemoryTable
+
+MAX = (1 << 63) - 1
+NAN = float("nan")
+FOUR = [Aggregate("n", "count"), Aggregate("nv", "count", "value"), Aggregate("s", "sum", "value"), Aggregate("lo", "min", "value"), Aggregate("hi", "max", "value")]
+
+
+def rows(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def ordered(df):
+    return sorted(rows(df), key=repr)
+
+
+def test_aggregate_with_nulls_and_composite_keys(frame):
+    df = frame("key bigint, tag string, value bigint", [(1, "a", 3), (1, "a", None), (None, "b", 8), (None, "b", 2), (1, "b", None)])
+    assert ordered(aggregate(df, ["key", "tag"], FOUR)) == sorted([(1, "a", 2, 1, 3, 3, 3), (None, "b", 2, 2, 10, 2, 8), (1, "b", 1, 0, None, None, None)], key=repr)
+
+
+def test_aggregate_of_nothing(frame):
+    df = frame("key bigint, value bigint", [])
+    assert rows(aggregate(df, [], FOUR)) == [(0, 0, None, None, None)]
+    assert rows(aggregate(df, ["key"], FOUR)) == []
+
+
+def test_integer_sum_does_not_wrap(frame):
+    total = lambda vs: rows(aggregate(frame("v bigint", [(v,) for v in vs]).repartition(3), [], [Aggregate("s", "sum", "v")]))[0][0]
+    assert total([MAX, 1]) is None
+    assert total([MAX, 1, -1]) == MAX
+    assert total([-MAX - 1, MAX, -5]) == -6
+    assert total([-MAX - 1, -1]) is None
+    assert total([None, None]) is None
+    rnd = random.Random(4)
+    vs = [rnd.randint(-(1 << 58), 1 << 58) for _ in range(300)]
+    assert total(vs) == (sum(vs) if abs(sum(vs)) <= MAX else None)
+
+
+def test_aggregate_types(frame):
+    df = frame("k bigint, s string, b boolean", [(1, "a", True)])
+    for bad in (Aggregate("v", "sum", "s"), Aggregate("v", "min", "b"), Aggregate("v", "max"), Aggregate("v", "count", "k", Type.DOUBLE)):
+        with pytest.raises(TypeError):
+            aggregate(df, [], [bad])
+    with pytest.raises(ValueError):
+        aggregate(df, ["k", "k"], [])
+    with pytest.raises(ValueError):
+        aggregate(df, ["k"], [Aggregate("k", "count")])
+    with pytest.raises(ValueError):
+        aggregate(df, ["k"], [Aggregate("v", "avg", "k")])
+    assert rows(aggregate(df, [], [Aggregate("n", "count", "s"), Aggregate("m", "count", "b")])) == [(1, 1)]
+
+
+def test_random_aggregate_against_a_dictionary(frame):
+    rnd = random.Random(1)
+    data = [(rnd.randrange(1500), rnd.randrange(100)) for _ in range(10_000)]
+    want = collections.defaultdict(lambda: [0, 0])
+    for k, v in data:
+        want[k][0] += 1
+        want[k][1] += v
+    got = aggregate(frame("k bigint, v bigint", data), ["k"], [Aggregate("n", "count"), Aggregate("s", "sum", "v")])
+    assert sorted(rows(got)) == sorted((k, n, s) for k, (n, s) in want.items())
+
+
+def test_join_keeps_duplicates_and_drops_nulls(frame):
+    left = frame("lk bigint, l string", [(2, "a"), (2, "b"), (None, "n"), (3, "c")])
+    right = frame("rk bigint, r bigint", [(2, 10), (2, 11), (2, 12), (None, 99), (4, 4)])
+    want = sorted((2, x, 2, y) for x in "ab" for y in (10, 11, 12))
+    for build in (None, "left", "right"):
+        got = inner_join(left, right, ["lk"], ["rk"], build)
+        assert got.columns == ["lk", "l", "rk", "r"]
+        assert sorted(rows(got)) == want
+
+
+def test_join_validation(frame):
+    a, b = frame("k bigint, v bigint", [(1, 1)]), frame("k bigint", [(1,)])
+    with pytest.raises(ValueError):
+        inner_join(a, b, ["k"], ["k"])
+    c = frame("d double, i bigint", [(1.0, 1)])
+    with pytest.raises(ValueError):
+        inner_join(a, c, [], [])
+    with pytest.raises(ValueError):
+        inner_join(a, c, ["k", "v"], ["i"])
+    with pytest.raises(TypeError):
+        inner_join(a, c, ["k"], ["d"])
+    with pytest.raises(ValueError):
+        inner_join(a, c, ["k"], ["i"], build="both")
+
+
+def test_random_composite_join_against_nested_loops(frame):
+    rnd = random.Random(2)
+    make = lambda n, every: [(None if i % every == 0 else rnd.randrange(19), rnd.randrange(5)) for i in range(n)]
+    x, y = make(170, 13), make(93, 7)
+    got = inner_join(frame("a bigint, b bigint", x), frame("c bigint, d bigint", y), ["a", "b"], ["c", "d"])
+    assert sorted(rows(got)) == sorted((*p, *q) for p in x for q in y if p == q and p[0] is not None)
+
+
+def test_ieee_keys(frame):
+    left, right = frame("x double", [(-0.0,), (0.0,), (NAN,), (NAN,), (1.0,)]), frame("y double", [(0.0,), (NAN,)])
+    groups = rows(aggregate(left, ["x"], [Aggregate("n", "count")]))
+    assert sorted(n for _, n in groups) == [1, 2, 2]
+    lo, hi = rows(aggregate(left, [], [Aggregate("lo", "min", "x"), Aggregate("hi", "max", "x")]))[0]
+    assert lo == 0 and hi != hi
+    assert len(rows(inner_join(left, right, ["x"], ["y"]))) == 2
+
+
+def test_many_groups(spark):
+    df = spark.range(70_000).withColumnRenamed("id", "k")
+    groups = aggregate(df, ["k"], [Aggregate("n", "count")])
+    assert filter_rows(groups, col("n") == lit(1)).count() == 70_000
+    probe = spark.createDataFrame([(69_999,), (65_536,), (1,)], "p bigint")
+    assert inner_join(probe, groups, ["p"], ["k"]).count() == 3
+
+
+def test_stable_sort_and_limit(spark):
+    t = MemoryTable(spark, {"k": Type.INT64, "v": Type.INT64}).append([(2, 7), (None, 8)]).append([(1, 9), (2, 10)])
+    got = limit_rows(sort_rows(t.scan(ordinal=True), [SortKey("k", ascending=False)], ordinal=MemoryTable.ORDINAL), 3)
+    assert [tuple(r)[:2] for r in got.collect()] == [(2, 7), (2, 10), (1, 9)]
+    assert rows(limit_rows(t.scan(), 0)) == []
+    assert [r[1] for r in sort_rows(t.scan(ordinal=True), [], ordinal=MemoryTable.ORDINAL).collect()] == [7, 8, 9, 10]
+    with pytest.raises(ValueError):
+        limit_rows(t.scan(), -1)
+
+
+@pytest.mark.parametrize("ascending", [True, False])
+@pytest.mark.parametrize("first", [True, False])
+def test_null_placement_does_not_depend_on_direction(frame, ascending, first):
+    got = [r[0] for r in sort_rows(frame("x double", [(1.0,), (None,), (NAN,), (2.0,)]), [SortKey("x", ascending, first)]).collect()]
+    numbers = [repr(v) for v in got if v is not None]
+    assert numbers == (["1.0", "2.0", "nan"] if ascending else ["nan", "2.0", "1.0"])
+    assert got.index(None) == (0 if first else 3)
+
+
+def test_booleans_sort_and_compare(frame):
+    assert [r[0] for r in sort_rows(frame("b boolean", [(True,), (None,), (False,)]), [SortKey("b")]).collect()] == [False, True, None]
+
+
+def test_barriers(frame):
+    df = frame("x bigint", [(1,), (2,), (3,)])
+    assert rows(filter_rows(limit_rows(sort_rows(df, [SortKey("x")]), 1), col("x") > lit(1))) == []
+    counted = aggregate(df, [], [Aggregate("n", "count")])
+    assert rows(filter_rows(counted, lit(False))) == []
+    assert ordered(filter_rows(aggregate(df, ["x"], []), col("x") > lit(1))) == [(2,), (3,)]
+
+
+def test_push_through_join_and_aggregate(frame):
+    a, b = frame("ak bigint, v bigint", [(1, 1), (2, 20), (2, 30), (3, 40)]), frame("bk bigint", [(2,), (3,)])
+    j = filter_rows(inner_join(a, b, ["ak"], ["bk"]), col("v") > lit(10))
+    got = limit_rows(sort_rows(aggregate(j, ["bk"], [Aggregate("s", "sum", "v")]), [SortKey("s", ascending=False)]), 1)
+    assert rows(got) == [(2, 50)]
+    assert "TakeOrderedAndProject" in explain(got)
+
+
+def test_random_plans_against_python(frame):
+    rnd = random.Random(3)
+    for _ in range(8):
+        data = [(None if i % 7 == 0 else rnd.randrange(30), None if i % 11 == 0 else rnd.randrange(30)) for i in range(150)]
+        lo, hi = rnd.randrange(30), rnd.randrange(30)
+        want = sorted((a, b) for a, b in data if a is not None and b is not None and a > lo and b < hi)[:9]
+        df = frame("a bigint, b bigint", data)
+        for _ in range(2):
+            df = filter_rows(df, (col("a") > lit(lo)) & (col("b") < lit(hi)))
+        df = project(df, [Named("p", "a"), Named("q", "b")])
+        assert rows(limit_rows(sort_rows(df, [SortKey("p"), SortKey("q")]), 9)) == want
