@@ -1,7 +1,7 @@
 """Personal data by patterns and bootstrapped contexts, in DataFrame functions only.
 
 Base spans come from four patterns with checks. They are the seeds of a bootstrap: the
-cue in front of a seed (one or two words ending in one of : = #, digits folded) is a
+cue in front of a seed (a word and one of : = #, digits folded) is a
 lexical pattern; words with digits or @ behind a cue are its instances. Over the whole
 corpus Spark counts, for each pattern, its distinct instances and those already known;
 patterns with enough known ones, and a high enough share of them, make their other
@@ -31,8 +31,9 @@ MATCH = {
 }
 #: Any text with a match has this.
 HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-CUE = r"(\S{1,40}\s{1,3})?\S{0,40}[:=#]\s{0,3}$"
+TOKEN = r"(?<=[:=#]\s{0,3})[^\s0-9@]*+[0-9@]\S*+"  # a word after a cue
+CUE = r"(?:\S{0,40}[\p{L}\p{N}]|\S{1,40}\s{1,3})[:=#]\s{0,3}$"
+RUN = 512
 ROUNDS, LEAST_KNOWN, LEAST_SHARE = 3, 3, 0.5
 
 
@@ -63,8 +64,15 @@ def _placed(df: DataFrame, text: str, pattern: str, hint: str, out: str) -> Data
     df = df.withColumn(m, F.expr(f"if({may}, regexp_extract_all({text}, r'{pattern}', 0), cast(array() as array<string>))"))
     df = df.withColumn(g, F.expr(f"if(size({m}) > 0, split({text}, r'{pattern}', -1), cast(array() as array<string>))"))
     kind = "array<struct<match:string,start:int,end:int,before:string>>"
+    p, n, at = f"_p_{out}", f"_n_{out}", f"_at_{out}"
+    # running sums by blocks, so that a text of very many matches takes no quadratic time
+    blocks = f"sequence(0, (size({p}) - 1) div {RUN})"
+    df = df.withColumn(p, F.expr(f"zip_with({m}, slice({g}, 1, size({m})), (m, g) -> named_struct('m', m, 'g', g))"))
+    df = df.withColumn(n, F.expr(f"transform({blocks}, b -> aggregate(slice({p}, b * {RUN} + 1, {RUN}), 0, (a, x) -> a + length(x.g) + length(x.m)))"))
+    df = df.withColumn(at, F.expr(f"transform({n}, (x, b) -> aggregate(slice({n}, 1, b), 0, (a, y) -> a + y))"))
     step = "named_struct('at', a.at + length(x.g) + length(x.m), 'spans', concat(a.spans, array(named_struct('match', x.m, 'start', a.at + length(x.g), 'end', a.at + length(x.g) + length(x.m), 'before', right(x.g, 90)))))"
-    return df.withColumn(out, F.expr(f"aggregate(zip_with({m}, slice({g}, 1, size({m})), (m, g) -> named_struct('m', m, 'g', g)), named_struct('at', 0, 'spans', cast(array() as {kind})), (a, x) -> {step}, a -> a.spans)")).drop(m, g)
+    df = df.withColumn(out, F.expr(f"flatten(transform({at}, (at, b) -> aggregate(slice({p}, b * {RUN} + 1, {RUN}), named_struct('at', at, 'spans', cast(array() as {kind})), (a, x) -> {step}, a -> a.spans)))"))
+    return df.drop(m, g, p, n, at)
 
 
 def base_spans(df: DataFrame, text: str) -> DataFrame:
@@ -106,7 +114,7 @@ def bootstrap(found: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Written: rid, id, th (of the text), a column per kind and `tokens`, without the texts."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumns({"rid": F.monotonically_increasing_id(), "th": F.xxhash64("text")})
-    rows = _placed(base_spans(rows, "text"), "text", TOKEN, "[0-9@]", "tokens")
+    rows = _placed(base_spans(rows, "text"), "text", TOKEN, r"[:=#]\s{0,3}[^\s0-9@]*+[0-9@]", "tokens")
     core = r"regexp_replace(regexp_replace(x.match, r'^[^\p{L}\p{N}+]+', ''), r'[^\p{L}\p{N}]+$', '')"
     lead = r"length(regexp_extract(x.match, r'^[^\p{L}\p{N}+]+', 0))"
     tokens = f"filter(transform(tokens, x -> named_struct('core', {core}, 'start', x.start + {lead}, 'cue', {_cue('x.before')})), x -> x.cue != '' and length(x.core) >= 5 and x.core rlike '[0-9]')"
