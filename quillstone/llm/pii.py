@@ -121,6 +121,14 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return written(rows.withColumn("tokens", F.expr(tokens)).select("rid", "id", "th", *KINDS, "tokens"), "pii-scan")
 
 
+def _added(found: DataFrame, learned: DataFrame) -> DataFrame:
+    """rid, id, th, kind, start, end of the places of learned instances that no base span overlaps."""
+    starts = ", ".join(f"transform({k}, y -> named_struct('start', y.start, 'end', y.end))" for k in KINDS)
+    places = found.select("rid", "id", "th", F.explode("tokens").alias("x"), F.expr(f"concat({starts})").alias("base"))
+    places = places.select("rid", "id", "th", "base", F.col("x.core").alias("instance"), F.col("x.start").alias("start"), F.expr("x.start + length(x.core)").alias("end"))
+    return places.join(learned, "instance").filter(F.expr("not exists(base, b -> b.start < end and b.end > start)"))
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_<kind>, base_sha256, spans (text), all_spans (structs), n_added.
 
@@ -133,11 +141,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     found = scan(docs, id_col, text_col)
-    learned = bootstrap(found)
-    places = found.select("rid", F.explode("tokens").alias("x"), F.expr(f"concat({', '.join(f'transform({k}, y -> named_struct(\'start\', y.start, \'end\', y.end))' for k in KINDS)})").alias("base"))
-    places = places.select("rid", "base", F.col("x.core").alias("instance"), F.col("x.start").alias("start"), F.expr("x.start + length(x.core)").alias("end"))
-    added = places.join(learned, "instance").filter(F.expr("not exists(base, b -> b.start < end and b.end > start)"))
-    added = added.groupBy("rid").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
+    added = _added(found, bootstrap(found)).groupBy("rid").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
     none = "cast(array() as array<struct<kind:string,start:int,end:int>>)"
     out = found.join(added, "rid", "left").withColumn("added", F.expr(f"coalesce(added, {none})"))
     for k in KINDS:
@@ -162,12 +166,24 @@ def masked(text: str, spans: str) -> str:
     return f"aggregate(array_sort({spans}, (l, r) -> if(l.start != r.start, l.start - r.start, r.end - l.end)), named_struct('at', 0, 'out', ''), (a, x) -> {step}, a -> concat(a.out, substring({text}, a.at + 1)))"
 
 
-def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
-    """docs with every span, base and added, replaced by its kind in brackets; chars_col, if there, is counted anew."""
-    spans = _found(docs, id_col, text_col).filter("size(all_spans) > 0").groupBy("id", "th").agg(F.first("all_spans").alias("all_spans"))
-    of = docs.withColumn("_th", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).alias("d")
-    of = of.join(spans.alias("s"), F.col(f"d.{id_col}").eqNullSafe(F.col("s.id")) & (F.col("d._th") == F.col("s.th")), "left")
-    text = F.expr(f"if(s.all_spans is null, d.{text_col}, {masked(f'd.{text_col}', 's.all_spans')})")
-    out = of.withColumn("_text", text)
-    new = {text_col: F.col("_text"), **({chars_col: F.when(F.col("s.all_spans").isNull(), F.col(f"d.{chars_col}")).otherwise(F.char_length("_text")).cast(docs.schema[chars_col].dataType)} if chars_col in docs.columns else {})}
-    return out.select([new.get(c, F.col(f"d.{c}")).alias(c) for c in docs.columns])
+def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """docs with every span, base and added, replaced by its kind in brackets; chars_col, if there, is counted anew.
+
+    Base spans are found again where the text is, so texts are moved only if contexts
+    have discovered anything. Null texts stay null.
+    """
+    found = scan(docs, id_col, text_col)
+    learned = bootstrap(found)
+    rows = docs.withColumns({"_text": F.coalesce(F.col(text_col), F.lit("")), "_id": F.col(id_col)})
+    kept = {c: f"_own{i}" for i, c in enumerate(docs.columns)}
+    rows = base_spans(rows.withColumnsRenamed(kept), "_text")
+    rows = rows.withColumn("_spans", F.expr(f"concat({', '.join(f'transform({k}, x -> named_struct(\'kind\', \'{k}\', \'start\', x.start, \'end\', x.end))' for k in KINDS)})")).drop(*KINDS)
+    if not learned.isEmpty():
+        added = _added(found, learned).select("id", "th", F.struct("kind", "start", "end").alias("x")).groupBy("id", "th").agg(F.collect_set("x").alias("added"))
+        on = F.col("_id").eqNullSafe(F.col("id")) & (F.xxhash64("_text") == F.col("th"))
+        rows = rows.hint("merge").join(added, on, "left").withColumn("_spans", F.expr("if(added is null, _spans, concat(_spans, added))"))
+    rows = rows.withColumn("_masked", F.expr(f"if(size(_spans) > 0, {masked('_text', '_spans')}, null)"))
+    new = {text_col: F.coalesce("_masked", kept[text_col])}
+    if chars_col in kept:
+        new[chars_col] = F.when(F.col("_masked").isNull(), F.col(kept[chars_col])).otherwise(F.char_length("_masked")).cast(docs.schema[chars_col].dataType)
+    return rows.select([new.get(c, F.col(kept[c])).alias(c) for c in docs.columns])
