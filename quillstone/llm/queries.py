@@ -86,3 +86,25 @@ def op4_suffix_array_dedup(spark, sf_dir):
 
 
 QUERIES[op4_suffix_array_dedup.__name__] = op4_suffix_array_dedup
+
+ORACLE_SQL[op7_ngram_jaccard_join.__name__] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS ws FROM documents),
+s AS (
+    SELECT doc_id,
+        CASE WHEN len(ws) >= 5 THEN list_sort(list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))))
+             WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS g
+    FROM w
+),
+c AS (SELECT g, min(doc_id) AS rep, count(*) AS n_copies FROM s WHERE len(g) > 0 GROUP BY g),
+e AS (SELECT rep, unnest(g) AS x, len(g) AS n FROM c),
+p AS (
+    SELECT a.rep AS a, b.rep AS b FROM e AS a JOIN e AS b ON a.x = b.x AND a.rep <> b.rep
+    GROUP BY a.rep, b.rep, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9
+),
+reach AS (SELECT rep AS v, rep AS u FROM c UNION SELECT reach.v, p.b FROM reach JOIN p ON reach.u = p.a),
+k AS (SELECT v, min(u) AS root FROM reach GROUP BY v),
+l AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT s.doc_id, coalesce(k.root, s.doc_id) AS class_id, coalesce(c.rep, s.doc_id) AS copy_of,
+    coalesce(l.n, 0) AS n_links, coalesce(c.n_copies, 1) AS n_copies, s.doc_id = coalesce(k.root, s.doc_id) AS is_first
+FROM s LEFT JOIN c ON s.g = c.g LEFT JOIN k ON k.v = c.rep LEFT JOIN l ON l.a = c.rep
+"""
