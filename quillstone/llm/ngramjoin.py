@@ -197,11 +197,12 @@ def _joined(docs: DataFrame, threshold: float, n: int, id_col: str, text_col: st
     base = written(signatures(docs, n, bands, rows, id_col, text_col), "ngram-signatures")
     some = base.filter("n > 0")
     classes = written(some.groupBy("k1", "k2").agg(F.min("rid").alias("rep"), F.count("*").alias("n_copies"), F.min("id").alias("copy_of")), "ngram-classes")
-    firsts = some.join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi")
+    # merge joins: what is joined grows with the input, so the plan shall not turn on its size
+    firsts = some.hint("merge").join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi")
     # band hashes are salted by band, so one long is the bucket's key
     banded = firsts.select("rid", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.min("rid").alias("hub"), F.count("*").alias("size")).filter("size > 1").select("bucket", "hub")
-    edges = banded.join(buckets, "bucket").filter("rid != hub").select(F.col("rid").alias("u"), F.col("hub").alias("v")).distinct()
+    edges = banded.hint("merge").join(buckets, "bucket").filter("rid != hub").select(F.col("rid").alias("u"), F.col("hub").alias("v")).distinct()
     groups = written(components(edges, "ngram-candidates"), "ngram-groups")
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
     members = groups.join(sizes, "root").select(F.col("v").alias("rid"), F.col("root").alias("comp"), F.ceil(F.col("size") / tile).cast("int").alias("tiles"))
@@ -209,7 +210,7 @@ def _joined(docs: DataFrame, threshold: float, n: int, id_col: str, text_col: st
     # every tile meets every other and itself, once
     members = members.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
     members = members.select("comp", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"), "tile", "rid", "tiles")
-    sets = members.join(some.select("rid", "grams"), "rid").repartition(max(partitions(spark), 16), "comp", "ti", "tj")
+    sets = members.hint("merge").join(some.select("rid", "grams"), "rid").repartition(max(partitions(spark), 16), "comp", "ti", "tj")
     sets = sets.sortWithinPartitions("comp", "ti", "tj", "rid").select("comp", "ti", "tj", "tile", "rid", "grams")
     verified = written(_verify(sets, threshold), "ngram-verified")
     links = verified.groupBy("rid").agg(F.sum("n").alias("n_links"), F.min("root").alias("root"), F.max("root").alias("most"))
