@@ -17,6 +17,8 @@ import re
 
 import numpy as np
 
+#: Pieces of this many characters or more are not kept.
+LONGEST = 64
 #: A space after white space: there, cutting at every space is not safe.
 _TIGHT = re.compile(r"\s ")
 _RUNS = re.compile(r"\s*\S+|\s+")
@@ -36,7 +38,7 @@ def _bytes_of_unicode() -> dict[str, int]:
 class PieceEncoder:
     """encode(text) -> ids as little-endian unsigned 32-bit bytes, as the library gives them.
 
-    cache_entries bounds memory: a full cache takes no more pieces, later new ones are merged again.
+    cache_entries and LONGEST bound memory: a full cache takes no more pieces, later new ones are merged again.
     """
 
     def __init__(self, path: str, cache_entries: int = 300_000):
@@ -83,7 +85,7 @@ class PieceEncoder:
         got = self.bare.get(piece)
         if got is None:
             got = self._ids(piece)
-            if len(self.bare) < self.most:
+            if len(self.bare) < self.most and len(piece) < LONGEST:
                 self.bare[piece] = got
         return got
 
@@ -97,7 +99,7 @@ class PieceEncoder:
                 got = led.get(p)
                 if got is None:
                     got = self._ids(" " + p)
-                    if len(led) < self.most and len(p) < 64:
+                    if len(led) < self.most and len(p) < LONGEST:
                         led[p] = got
                 out.append(got)
             return out

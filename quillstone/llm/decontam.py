@@ -25,7 +25,7 @@ from quillstone.llm.common import id_texts, keep_rows, slices
 
 MIN_TILE, THRESHOLD = 5, 0.5
 #: Code points of benchmark text in a block, at most, but for a single longer item.
-BLOCK_POINTS = 16_000_000
+BLOCK_POINTS = 4_000_000
 _BASE, _MASK = 0x100000001B3, (1 << 64) - 1
 
 

@@ -54,7 +54,7 @@ class CountTransducer:
         got = self.bare.get(stretch)
         if got is None:
             got = self._emit(stretch)
-            if len(self.bare) < self.most and len(stretch) < 64:
+            if len(self.bare) < self.most and len(stretch) < bpe.LONGEST:
                 self.bare[stretch] = got
         return got
 
@@ -74,7 +74,7 @@ class CountTransducer:
                 got = led.get(p)
                 if got is None:
                     got = self._emit(" " + p)
-                    if len(led) < most and len(p) < 64:
+                    if len(led) < most and len(p) < bpe.LONGEST:
                         led[p] = got
                 n += got
             return n
