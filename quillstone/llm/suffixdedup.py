@@ -99,11 +99,17 @@ def sample(texts: list[bytes], size: int = SIZE, k: int = K) -> tuple[np.ndarray
         return none
     own = owner[start]
     first = np.flatnonzero(np.r_[True, (np.diff(start) != 1) | (np.diff(own) != 0)])
-    lo, n = start[first], np.diff(np.r_[first, len(start)])
-    a = own[first]
+    lo, n, a = start[first], np.diff(np.r_[first, len(start)]), own[first]
+    # windows with much before their owner, and those with much from it on, have different names
+    half = (size - k) // 2
+    cut = np.clip(a - half, lo, lo + n)
+    lo, n, a = np.r_[lo, cut], np.r_[cut - lo, lo + n - cut], np.r_[a, a]
+    before = np.arange(len(lo)) < len(cut)
+    lo, n, a, before = lo[n > 0], n[n > 0], a[n > 0], before[n > 0]
+    name = mix(h.of(np.where(before, a - half - 1, a), np.where(before, a + k, a + size - half)) + before.astype(np.uint64))
     stretch = mix(h.of(lo, lo + n - 1 + size) ^ mix((n * 1024 + (a - lo)).astype(np.uint64)))
     text = np.searchsorted(begin, lo, "right") - 1
-    return text, lo - begin[text], n, a - lo, names[a], stretch
+    return text, lo - begin[text], n, a - lo, name, stretch
 
 
 def _common_prefix(a: bytes, b: bytes) -> int:
@@ -231,17 +237,36 @@ def _sampled(docs: DataFrame, size: int, k: int) -> DataFrame:
     return docs.select("th", "nb", "text").mapInArrow(run, "th long, nb long, at long, n int, rel int, name long, stretch long")
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """rows: id, th, nb, text; with text as compressed UTF-8 in `packed`, as it is moved twice."""
+
+    def run(batches):
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([pack(t.encode()) for t in batch.column(3).to_pylist()], pa.binary())], names=["id", "th", "nb", "packed"])
+
+    return rows.select("id", "th", "nb", "text").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, th long, nb long, packed binary")
+
+
+def _unpack(packed: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(packed)
+
+
 def _stretches(joined: DataFrame, size: int) -> DataFrame:
-    """joined: th, nb, text, needs; equal texts stand together and are cut once."""
+    """joined: th, nb, packed, needs; equal texts stand together and are cut once."""
 
     def run(batches):
         last = None
         for batch in batches:
             out = []
-            for th, nb, text, needs in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for th, nb, packed, needs in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if (th, nb) == last:
                     continue
-                last, b = (th, nb), text.encode()
+                last, b = (th, nb), _unpack(packed)
                 out += [(x["name"], th, nb, x["at"], x["n"], x["rel"], b[x["at"] : x["at"] + x["n"] - 1 + size]) for x in needs]
             cols = list(zip(*out)) or [()] * 7
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.int32()) for c in cols[4:6]), pa.array(cols[6], pa.binary())], names=["name", "th", "nb", "at", "n", "rel", "stretch"])
@@ -283,8 +308,8 @@ def _taken_out(joined: DataFrame, kind: str, size: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
-            for i, text, ranges in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                b, at, h, removed = text.encode(), 0, hashlib.sha256(), 0
+            for i, packed, ranges in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                b, at, h, removed = _unpack(packed), 0, hashlib.sha256(), 0
                 spans = spans_of([(x["begin"], x["end"]) for x in ranges or ()], size)
                 for lo, hi in spans:
                     h.update(memoryview(b)[at:lo])
@@ -317,8 +342,8 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, k: int = K, id_col: str =
     names = written(classes.groupBy("name").agg(F.count("*").alias("c"), F.min("m").alias("least")).filter("c > 1 and least = 1").select("name"), "suffix-names")
     whole = tuples.join(classes.filter("m > 1").select("stretch"), "stretch", "left_semi").select("th", "nb", F.col("at").alias("begin"), (F.col("at") + F.col("n")).alias("end"))
     needs = classes.join(names, "name", "left_semi").groupBy("th", "nb").agg(F.collect_list(F.struct("name", "at", "n", "rel")).alias("needs"))
-    cut = _stretches(long_rows.select("th", "nb", "text").join(needs, ["th", "nb"]).select("th", "nb", "text", "needs"), size)
+    cut = _stretches(_packed(long_rows).drop("id").join(needs, ["th", "nb"]).select("th", "nb", "packed", "needs"), size)
     in_order = cut.withColumn("after", F.expr("substring(stretch, rel + 1)")).repartition(max(partitions(docs.sparkSession), 16), "name").sortWithinPartitions("name", "after").drop("after")
     ranges = written(whole.unionAll(_ordered(in_order, size)).distinct().groupBy("th", "nb").agg(F.collect_list(F.struct("begin", "end")).alias("ranges")), "suffix-ranges")
-    joined = rows.join(ranges, ["th", "nb"], "left").select("id", "text", "ranges")
+    joined = _packed(rows).join(ranges, ["th", "nb"], "left").select("id", "packed", "ranges")
     return _taken_out(joined, rows.schema["id"].dataType.simpleString(), size).withColumnRenamed("id", id_col)
