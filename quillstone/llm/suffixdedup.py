@@ -226,7 +226,7 @@ def _sampled(docs: DataFrame, size: int, k: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             th, nb = (batch.column(i).to_pylist() for i in (0, 1))
-            texts = [t.encode() for t in batch.column(2).to_pylist()]
+            texts = batch.column(2).cast(pa.binary()).to_pylist()
             for lo, hi in _passes(list(map(len, texts)), PASS_BYTES):
                 text, at, n, rel, name, stretch = sample(texts[lo:hi], size, k)
                 yield pa.RecordBatch.from_arrays(
@@ -245,7 +245,7 @@ def _packed(rows: DataFrame) -> DataFrame:
 
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([pack(t.encode()) for t in batch.column(3).to_pylist()], pa.binary())], names=["id", "th", "nb", "packed"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([pack(t) for t in batch.column(3).cast(pa.binary()).to_pylist()], pa.binary())], names=["id", "th", "nb", "packed"])
 
     return rows.select("id", "th", "nb", "text").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, th long, nb long, packed binary")
 
