@@ -119,7 +119,7 @@ class CountTransducer:
         if len(text) <= chunk:
             return self.run(text)
         maps = [self.map_of(text[i : i + chunk]) for i in range(0, len(text), chunk)]
-        return self.total(functools.reduce(self.compose, self.prefixes(maps)[-1:]))
+        return self.total(self.prefixes(maps)[-1])
 
 
 @functools.lru_cache(maxsize=2)
