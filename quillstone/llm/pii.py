@@ -1,12 +1,13 @@
 """Personal data by patterns and bootstrapped contexts, in DataFrame functions only.
 
 Base spans come from four patterns with checks. They are the seeds of a bootstrap: the
-cue in front of a seed (a word and one of : = #, digits folded) is a
-lexical pattern; words with digits or @ behind a cue are its instances. Over the whole
-corpus Spark counts, for each pattern, its distinct instances and those already known;
-patterns with enough known ones, and a high enough share of them, make their other
-instances known too, which may raise further patterns, for ROUNDS rounds. Places of
-instances found so are added as spans of the pattern's kind.
+one to three words in front of a seed, those behind it, and its cue (a word and one of
+: = #) are lexical patterns, digits folded; words with digits or @ that no base span
+overlaps are their other instances. Over the whole corpus Spark counts, for each
+pattern, its distinct instances and those already known; patterns with enough known
+ones, and a high enough share of them, make their other instances known too, which may
+raise further patterns, until a round finds none. Places of instances found so are added
+as spans of the instance's kind, where one of these patterns or any cue is.
 
 Positions are code points: a pattern's matches and the gaps between them alternate, so
 running sums of their lengths place every match. Patterns are possessive, so that long
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import written
@@ -31,10 +32,11 @@ MATCH = {
 }
 #: Any text with a match has this.
 HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-TOKEN = r"(?<=[:=#]\s{0,3})[^\s0-9@]*+[0-9@]\S*+"  # a word after a cue
+TOKEN = r"(?:(?<!\S)|(?<=[:=#]))[^\s0-9@:=#]*+[0-9@]\S*+"  # a word, without a cue that it begins with
+WORD = r"[\p{L}\p{N}]+"
 CUE = r"(?:\S{0,40}[\p{L}\p{N}]|\S{1,40}\s{1,3})[:=#]\s{0,3}$"
-RUN = 512
-ROUNDS, LEAST_KNOWN, LEAST_SHARE = 3, 3, 0.5
+RUN, NEAR = 512, 90
+LEAST_KNOWN, LEAST_SHARE = 3, 0.5
 
 
 def _digits(m: str) -> str:
@@ -58,25 +60,28 @@ def _valid(kind: str, m: str) -> str:
 
 
 def _placed(df: DataFrame, text: str, pattern: str, hint: str, out: str) -> DataFrame:
-    """Adds `out`: array<struct<match, start, end, before>>, before: up to 90 characters of the gap in front."""
+    """Adds `out`: array<struct<match, start, end, before, after>>; before and after: up to NEAR characters of the text around."""
     m, g = f"_m_{out}", f"_g_{out}"
     may = f"{text} rlike r'{hint}'"
     df = df.withColumn(m, F.expr(f"if({may}, regexp_extract_all({text}, r'{pattern}', 0), cast(array() as array<string>))"))
     df = df.withColumn(g, F.expr(f"if(size({m}) > 0, split({text}, r'{pattern}', -1), cast(array() as array<string>))"))
-    kind = "array<struct<match:string,start:int,end:int,before:string>>"
+    kind = "array<struct<match:string,start:int,end:int,before:string,after:string>>"
     p, n, at = f"_p_{out}", f"_n_{out}", f"_at_{out}"
     # running sums by blocks, so that a text of very many matches takes no quadratic time
     blocks = f"sequence(0, (size({p}) - 1) div {RUN})"
-    df = df.withColumn(p, F.expr(f"zip_with({m}, slice({g}, 1, size({m})), (m, g) -> named_struct('m', m, 'g', g))"))
+    # a gap without a word may be all that parts two matches, so three matches and four gaps on either side
+    left = ", ".join(f"right(get({g}, i - {k}), {NEAR})" + (f", right(get({m}, i - {k}), {NEAR})" if k else "") for k in (3, 2, 1, 0))
+    right = ", ".join(f"left(get({g}, i + {k}), {NEAR})" + (f", left(get({m}, i + {k}), {NEAR})" if k < 4 else "") for k in (1, 2, 3, 4))
+    df = df.withColumn(p, F.expr(f"transform({m}, (m, i) -> named_struct('m', m, 'g', {g}[i], 'l', right(concat_ws('', {left}), {NEAR}), 'r', left(concat_ws('', {right}), {NEAR})))"))
     df = df.withColumn(n, F.expr(f"transform({blocks}, b -> aggregate(slice({p}, b * {RUN} + 1, {RUN}), 0, (a, x) -> a + length(x.g) + length(x.m)))"))
     df = df.withColumn(at, F.expr(f"transform({n}, (x, b) -> aggregate(slice({n}, 1, b), 0, (a, y) -> a + y))"))
-    step = "named_struct('at', a.at + length(x.g) + length(x.m), 'spans', concat(a.spans, array(named_struct('match', x.m, 'start', a.at + length(x.g), 'end', a.at + length(x.g) + length(x.m), 'before', right(x.g, 90)))))"
+    step = "named_struct('at', a.at + length(x.g) + length(x.m), 'spans', concat(a.spans, array(named_struct('match', x.m, 'start', a.at + length(x.g), 'end', a.at + length(x.g) + length(x.m), 'before', x.l, 'after', x.r))))"
     df = df.withColumn(out, F.expr(f"flatten(transform({at}, (at, b) -> aggregate(slice({p}, b * {RUN} + 1, {RUN}), named_struct('at', at, 'spans', cast(array() as {kind})), (a, x) -> {step}, a -> a.spans)))"))
     return df.drop(m, g, p, n, at)
 
 
 def base_spans(df: DataFrame, text: str) -> DataFrame:
-    """Adds a column per kind: array<struct<match, start, end, before>> of its valid matches. text must not be null."""
+    """Adds a column per kind: array<struct<match, start, end, before, after>> of its valid matches. text must not be null."""
     for kind in KINDS:
         df = _placed(df, text, MATCH[kind], HINT[kind], kind)
         df = df.withColumn(kind, F.expr(f"filter({kind}, x -> {_valid(kind, 'x.match')})"))
@@ -88,45 +93,72 @@ def _cue(before: str) -> str:
     return f"lower(trim(regexp_replace(regexp_replace(regexp_extract({before}, r'{CUE}', 0), '[0-9]', '0'), r'\\s+', ' ')))"
 
 
+def _contexts(x: str) -> str:
+    """The patterns around a place: its cue, '< ' and the last one to three words before, '> ' and the first after.
+
+    Digits are folded; a word that the ends of before or after may have cut is none.
+    """
+    words = lambda s: f"regexp_extract_all(regexp_replace(lower({s}), '[0-9]', '0'), r'{WORD}', 0)"
+    parts = f"named_struct('cue', {_cue(f'{x}.before')}, 'l', slice(reverse({words(f'{x}.before')}), 1, size({words(f'{x}.before')}) - int(length({x}.before) = {NEAR} and {x}.before rlike r'{WORD}')), 'r', slice({words(f'{x}.after')}, 1, size({words(f'{x}.after')}) - int(length({x}.after) = {NEAR} and {x}.after rlike r'{WORD}')))"
+    some = lambda side, put: f"transform(filter(array(1, 2, 3), n -> n <= size(c.{side})), n -> concat({put}))"
+    left, right = some("l", "'< ', array_join(reverse(slice(c.l, 1, n)), ' ')"), some("r", "'> ', array_join(slice(c.r, 1, n), ' ')")
+    return f"transform(array({parts}), c -> concat(filter(array(c.cue), q -> q != ''), {left}, {right}))[0]"
+
+
 def _as_text(spans: str) -> str:
     return f"array_join(transform({spans}, x -> concat(x.kind, ':', x.start, ':', x.end)), ',')"
 
 
-def bootstrap(found: DataFrame) -> DataFrame:
-    """found: rows with the kinds' spans and `tokens`. Returns kind, instance: what contexts discovered."""
-    seeds = reduce(DataFrame.unionAll, [found.select(F.lit(k).alias("kind"), F.explode(k).alias("x")).select("kind", F.expr(_cue("x.before")).alias("cue"), F.col("x.match").alias("instance")) for k in KINDS])
-    seeds = seeds.filter("cue != ''").distinct()
-    tokens = found.select(F.explode("tokens").alias("x")).select(F.col("x.cue").alias("cue"), F.col("x.core").alias("instance")).filter("cue != ''").distinct()
+def bootstrap(found: DataFrame, free: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """found: of scan(); free: of places(). Returns kind, instance: what contexts discovered, and the contexts that did."""
+    seeds = reduce(DataFrame.unionAll, [found.select(F.lit(k).alias("kind"), F.explode(k).alias("x")).select("kind", F.col("x.ctx").alias("ctx"), F.col("x.match").alias("instance")) for k in KINDS])
     # a seed is its pattern's instance as well; counts are of distinct instances
-    edges = written(tokens.unionAll(seeds.select("cue", "instance")).distinct(), "pii-edges")
-    known = seeds.select("kind", "instance").distinct()
-    start = known = written(known, "pii-known")
+    edges = free.select("ctx", "instance").unionAll(seeds.select("ctx", "instance")).select(F.explode("ctx").alias("cue"), "instance")
+    edges = written(edges.distinct(), "pii-edges")
+    start = known = written(seeds.select("kind", "instance").distinct(), "pii-known")
     totals = edges.groupBy("cue").agg(F.count("*").alias("n"))
-    for _ in range(ROUNDS):
+    while True:
         scored = edges.join(known, "instance").groupBy("cue", "kind").agg(F.count("*").alias("f")).join(totals, "cue")
         good = scored.filter((F.col("f") >= LEAST_KNOWN) & (F.col("f") >= LEAST_SHARE * F.col("n")))
         # a pattern stands for the kind most of its known instances have
-        best = good.groupBy("cue").agg(F.max(F.struct("f", "kind")).alias("b")).select("cue", F.col("b.kind").alias("kind"))
-        known = written(known.unionAll(edges.join(best, "cue").select("kind", "instance")).distinct(), "pii-known")
-    return known.join(start.select("instance"), "instance", "left_anti").groupBy("instance").agg(F.min("kind").alias("kind"))
+        best = written(good.groupBy("cue").agg(F.max(F.struct("f", "kind")).alias("b")).select("cue", F.col("b.kind").alias("kind")), "pii-best")
+        new = written(edges.join(best, "cue").select("kind", "instance").distinct().join(known, ["kind", "instance"], "left_anti"), "pii-new")
+        if new.isEmpty():
+            break
+        known = written(known.unionAll(new), "pii-known")
+    return known.join(start.select("instance"), "instance", "left_anti").groupBy("instance").agg(F.min("kind").alias("kind")), best.select("cue")
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Written: rid, id, th (of the text), a column per kind and `tokens`, without the texts."""
+    """Written: rid, id, th (of the text), a column per kind and `tokens`, each with contexts, without the texts."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumns({"rid": F.monotonically_increasing_id(), "th": F.xxhash64("text")})
-    rows = _placed(base_spans(rows, "text"), "text", TOKEN, r"[:=#]\s{0,3}[^\s0-9@]*+[0-9@]", "tokens")
+    rows = _placed(base_spans(rows, "text"), "text", TOKEN, "[0-9@]", "tokens")
     core = r"regexp_replace(regexp_replace(x.match, r'^[^\p{L}\p{N}+]+', ''), r'[^\p{L}\p{N}]+$', '')"
     lead = r"length(regexp_extract(x.match, r'^[^\p{L}\p{N}+]+', 0))"
-    tokens = f"filter(transform(tokens, x -> named_struct('core', {core}, 'start', x.start + {lead}, 'cue', {_cue('x.before')})), x -> x.cue != '' and length(x.core) >= 5 and x.core rlike '[0-9]')"
-    return written(rows.withColumn("tokens", F.expr(tokens)).select("rid", "id", "th", *KINDS, "tokens"), "pii-scan")
+    tokens = f"filter(transform(tokens, x -> named_struct('core', {core}, 'start', x.start + {lead}, 'before', x.before, 'after', x.after)), x -> length(x.core) >= 5 and x.core rlike '[0-9@]')"
+    rows = rows.withColumn("tokens", F.expr(tokens)).withColumn("tokens", F.expr(f"transform(tokens, x -> named_struct('core', x.core, 'start', x.start, 'ctx', {_contexts('x')}))"))
+    for k in KINDS:
+        rows = rows.withColumn(k, F.expr(f"transform({k}, x -> named_struct('match', x.match, 'start', x.start, 'end', x.end, 'ctx', {_contexts('x')}))"))
+    return written(rows.select("rid", "id", "th", *KINDS, "tokens"), "pii-scan")
+
+
+def places(found: DataFrame) -> DataFrame:
+    """Written: rid, id, th, instance, start, end, ctx of the tokens that no base span overlaps."""
+    tokens = found.select("rid", "id", "th", F.explode("tokens").alias("x")).select("rid", "id", "th", F.col("x.core").alias("instance"), F.col("x.start").alias("start"), F.expr("x.start + length(x.core)").alias("end"), F.col("x.ctx").alias("ctx"))
+    base = reduce(DataFrame.unionAll, [found.filter(F.size("tokens") > 0).select("rid", F.explode(k).alias("x")).select("rid", F.col("x.start").alias("start"), F.col("x.end").alias("end")) for k in KINDS])
+    both = tokens.unionByName(base, allowMissingColumns=True)
+    # base spans that begin at or before a token, and behind its begin; each a running value
+    up, down = (Window.partitionBy("rid").orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in ("start", F.desc("start")))
+    both = both.withColumns({"reach": F.max(F.expr("if(instance is null, end, null)")).over(up), "next": F.min(F.expr("if(instance is null, start, null)")).over(down)})
+    free = both.filter("instance is not null and not (coalesce(reach > start, false) or coalesce(next < end, false))")
+    return written(free.drop("reach", "next"), "pii-places")
 
 
-def _added(found: DataFrame, learned: DataFrame) -> DataFrame:
-    """rid, id, th, kind, start, end of the places of learned instances that no base span overlaps."""
-    starts = ", ".join(f"transform({k}, y -> named_struct('start', y.start, 'end', y.end))" for k in KINDS)
-    places = found.select("rid", "id", "th", F.explode("tokens").alias("x"), F.expr(f"concat({starts})").alias("base"))
-    places = places.select("rid", "id", "th", "base", F.col("x.core").alias("instance"), F.col("x.start").alias("start"), F.expr("x.start + length(x.core)").alias("end"))
-    return places.join(learned, "instance").filter(F.expr("not exists(base, b -> b.start < end and b.end > start)"))
+def _added(free: DataFrame, learned: DataFrame, contexts: DataFrame) -> DataFrame:
+    """rid, id, th, kind, start, end of the places of learned instances with one of the contexts or a cue."""
+    at = free.join(learned, "instance").select("rid", "id", "th", "kind", "start", "end", F.explode("ctx").alias("cue"))
+    at = at.join(contexts.withColumn("good", F.lit(True)), "cue", "left").filter(r"good or cue rlike '[:=#]$'")
+    return at.drop("cue", "good").distinct()
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,7 +173,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     found = scan(docs, id_col, text_col)
-    added = _added(found, bootstrap(found)).groupBy("rid").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
+    free = places(found)
+    added = _added(free, *bootstrap(found, free)).groupBy("rid").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
     none = "cast(array() as array<struct<kind:string,start:int,end:int>>)"
     out = found.join(added, "rid", "left").withColumn("added", F.expr(f"coalesce(added, {none})"))
     for k in KINDS:
@@ -173,13 +206,14 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_
     have discovered anything. Null texts stay null.
     """
     found = scan(docs, id_col, text_col)
-    learned = bootstrap(found)
+    free = places(found)
+    learned, contexts = bootstrap(found, free)
     rows = docs.withColumns({"_text": F.coalesce(F.col(text_col), F.lit("")), "_id": F.col(id_col)})
     kept = {c: f"_own{i}" for i, c in enumerate(docs.columns)}
     rows = base_spans(rows.withColumnsRenamed(kept), "_text")
     rows = rows.withColumn("_spans", F.expr(f"concat({', '.join(f'transform({k}, x -> named_struct(\'kind\', \'{k}\', \'start\', x.start, \'end\', x.end))' for k in KINDS)})")).drop(*KINDS)
     if not learned.isEmpty():
-        added = _added(found, learned).select("id", "th", F.struct("kind", "start", "end").alias("x")).groupBy("id", "th").agg(F.collect_set("x").alias("added"))
+        added = _added(free, learned, contexts).select("id", "th", F.struct("kind", "start", "end").alias("x")).groupBy("id", "th").agg(F.collect_set("x").alias("added"))
         on = F.col("_id").eqNullSafe(F.col("id")) & (F.xxhash64("_text") == F.col("th"))
         rows = rows.hint("merge").join(added, on, "left").withColumn("_spans", F.expr("if(added is null, _spans, concat(_spans, added))"))
     rows = rows.withColumn("_masked", F.expr(f"if(size(_spans) > 0, {masked('_text', '_spans')}, null)"))

@@ -54,6 +54,22 @@ def test_base_spans_and_bootstrap(spark):
     assert pii.find(df.limit(0)).count() == 0
 
 
+def test_contexts_of_words(spark):
+    known = [f"please call me at +1 (555) 010-000{i} today" for i in range(4)]
+    behind = [f"{w} 10.0.0.{i} answered the ping" for i, w in enumerate(("host", "node", "box"))]
+    mails = [f"you may mail to u{i}@mail.example.com for help" for i in range(3)]
+    # each hop is a context only once the one before it has made three of its six instances known
+    chain = [f"hop{'abcdef'[k]} {x}" for k in range(6) for i in range(3) for x in (f"z{k - 1}-{i}00" if k else f"+1 (555) 020-000{i}", f"z{k}-{i}00")]
+    texts = [*known, "call me at 555-0100-33, do", *behind, "srv 10-0-0-77 answered the ping", *mails, "mail to joe@localhost now", "sold 12345 pieces", *chain]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {texts[r["doc_id"]]: (r["spans"], r["n_added"]) for r in pii.find(df).collect()}
+    assert got["call me at 555-0100-33, do"] == ("phone:11:22", 1)
+    assert got["srv 10-0-0-77 answered the ping"] == ("ip:4:13", 1)
+    assert got["mail to joe@localhost now"] == ("email:8:21", 1)
+    assert got["sold 12345 pieces"] == ("", 0)
+    assert got["hopf z5-000"] == ("phone:5:11", 1)
+
+
 def test_masking(spark):
     rows = [(1, "mail me@mail.example.com, ip 10.0.0.1", 9), (2, None, 9), (None, "Tel: +1 (555) 010-9998", 9), (3, "clean", 9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
