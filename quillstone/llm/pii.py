@@ -7,7 +7,7 @@ overlaps are their other instances. Over the whole corpus Spark counts, for each
 pattern, its distinct instances and those already known; patterns with enough known
 ones, and a high enough share of them, make their other instances known too, which may
 raise further patterns, until a round finds none. Places of instances found so are added
-as spans of the instance's kind, where one of these patterns or any cue is.
+as spans of the instance's kind: everywhere, or where one of these patterns or any cue is.
 
 Positions are code points: a pattern's matches and the gaps between them alternate, so
 running sums of their lengths place every match. Patterns are possessive, so that long
@@ -154,27 +154,32 @@ def places(found: DataFrame) -> DataFrame:
     return written(free.drop("reach", "next"), "pii-places")
 
 
-def _added(free: DataFrame, learned: DataFrame, contexts: DataFrame) -> DataFrame:
-    """rid, id, th, kind, start, end of the places of learned instances with one of the contexts or a cue."""
-    at = free.join(learned, "instance").select("rid", "id", "th", "kind", "start", "end", F.explode("ctx").alias("cue"))
+def _added(free: DataFrame, learned: DataFrame, contexts: DataFrame | None = None) -> DataFrame:
+    """rid, id, th, kind, start, end of the places of learned instances; if contexts are given, of those with one of them or a cue."""
+    at = free.join(learned, "instance").select("rid", "id", "th", "kind", "start", "end", "ctx")
+    if contexts is None:
+        return at.drop("ctx")
+    at = at.withColumn("cue", F.explode("ctx")).drop("ctx")
     at = at.join(contexts.withColumn("good", F.lit(True)), "cue", "left").filter(r"good or cue rlike '[:=#]$'")
     return at.drop("cue", "good").distinct()
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", everywhere: bool = False) -> DataFrame:
     """One row per row of docs: id, n_<kind>, base_sha256, spans (text), all_spans (structs), n_added.
 
     n_<kind> and base_sha256 are of base spans; spans holds these and the added ones, by
-    kind, then start. Null text counts as empty: no spans; repeated rows and null ids stay;
+    kind, then start. everywhere: learned instances are placed in plain prose too, not only
+    by a context or cue. Null text counts as empty: no spans; repeated rows and null ids stay;
     other columns are not read; an empty table gives no rows.
     """
-    return _found(docs, id_col, text_col).drop("th").withColumnRenamed("id", id_col)
+    return _found(docs, id_col, text_col, everywhere).drop("th").withColumnRenamed("id", id_col)
 
 
-def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _found(docs: DataFrame, id_col: str, text_col: str, everywhere: bool) -> DataFrame:
     found = scan(docs, id_col, text_col)
     free = places(found)
-    added = _added(free, *bootstrap(found, free)).groupBy("rid").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
+    learned, contexts = bootstrap(found, free)
+    added = _added(free, learned, None if everywhere else contexts).groupBy("rid").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
     none = "cast(array() as array<struct<kind:string,start:int,end:int>>)"
     out = found.join(added, "rid", "left").withColumn("added", F.expr(f"coalesce(added, {none})"))
     for k in KINDS:
@@ -200,20 +205,20 @@ def masked(text: str, spans: str) -> str:
 
 
 def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """docs with every span, base and added, replaced by its kind in brackets; chars_col, if there, is counted anew.
+    """docs with every span, base and added everywhere, replaced by its kind in brackets; chars_col, if there, is counted anew.
 
     Base spans are found again where the text is, so texts are moved only if contexts
     have discovered anything. Null texts stay null.
     """
     found = scan(docs, id_col, text_col)
     free = places(found)
-    learned, contexts = bootstrap(found, free)
+    learned, _ = bootstrap(found, free)
     rows = docs.withColumns({"_text": F.coalesce(F.col(text_col), F.lit("")), "_id": F.col(id_col)})
     kept = {c: f"_own{i}" for i, c in enumerate(docs.columns)}
     rows = base_spans(rows.withColumnsRenamed(kept), "_text")
     rows = rows.withColumn("_spans", F.expr(f"concat({', '.join(f'transform({k}, x -> named_struct(\'kind\', \'{k}\', \'start\', x.start, \'end\', x.end))' for k in KINDS)})")).drop(*KINDS)
     if not learned.isEmpty():
-        added = _added(free, learned, contexts).select("id", "th", F.struct("kind", "start", "end").alias("x")).groupBy("id", "th").agg(F.collect_set("x").alias("added"))
+        added = _added(free, learned).select("id", "th", F.struct("kind", "start", "end").alias("x")).groupBy("id", "th").agg(F.collect_set("x").alias("added"))
         on = F.col("_id").eqNullSafe(F.col("id")) & (F.xxhash64("_text") == F.col("th"))
         rows = rows.hint("merge").join(added, on, "left").withColumn("_spans", F.expr("if(added is null, _spans, concat(_spans, added))"))
     rows = rows.withColumn("_masked", F.expr(f"if(size(_spans) > 0, {masked('_text', '_spans')}, null)"))

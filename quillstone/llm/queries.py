@@ -40,7 +40,7 @@ def op3_fingerprints(spark, sf_dir):
 def op8_pii(spark, sf_dir):
     from quillstone.llm.pii import find
 
-    return find(table(spark, sf_dir, "documents")).drop("all_spans")
+    return find(table(spark, sf_dir, "documents"), everywhere=True).drop("all_spans")
 
 
 QUERIES |= {f.__name__: f for f in (op3_fingerprints, op8_pii)}

@@ -70,6 +70,14 @@ def test_contexts_of_words(spark):
     assert got["hopf z5-000"] == ("phone:5:11", 1)
 
 
+def test_learned_instances_in_plain_prose(spark):
+    texts = [*(f"Tel: +1 (555) 010-999{i}" for i in range(3)), "so Tel: 555-0100-22.", "no cue 555-0100-22, and 555-0100-22", "555-0100-23"]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars int")
+    got = {r["doc_id"]: (r["spans"], r["n_added"]) for r in pii.find(df, everywhere=True).collect()}
+    assert (got[3], got[4], got[5]) == (("phone:8:19", 1), ("phone:7:18,phone:24:35", 2), ("", 0))
+    assert {r["doc_id"]: r["text"] for r in pii.mask(df).collect()}[4] == "no cue [PHONE], and [PHONE]"
+
+
 def test_masking(spark):
     rows = [(1, "mail me@mail.example.com, ip 10.0.0.1", 9), (2, None, 9), (None, "Tel: +1 (555) 010-9998", 9), (3, "clean", 9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
