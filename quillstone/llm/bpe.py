@@ -10,12 +10,13 @@ other kind, go to the tokenizers library itself.
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 import re
+import sys
+from array import array
 
-import numpy as np
+from quillstone.llm.common import resident
 
 #: Pieces of this many characters or more are not kept.
 LONGEST = 64
@@ -35,13 +36,20 @@ def _bytes_of_unicode() -> dict[str, int]:
     return out
 
 
+def _packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class PieceEncoder:
     """encode(text) -> ids as little-endian unsigned 32-bit bytes, as the library gives them.
 
     cache_entries and LONGEST bound memory: a full cache takes no more pieces, later new ones are merged again.
     """
 
-    def __init__(self, path: str, cache_entries: int = 300_000):
+    def __init__(self, path: str, cache_entries: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -52,6 +60,7 @@ class PieceEncoder:
         spec = json.load(open(path, encoding="utf-8"))
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.fast = self._compile(spec)
+        self.one = self.fast._encode_single_piece if self.fast is not None and not any(re.fullmatch(" ?[A-Za-z]+", t) for t in self.added) else None
 
     def _compile(self, spec: dict):
         """A tiktoken encoder of the same merges, or None where the file is of another kind."""
@@ -75,11 +84,13 @@ class PieceEncoder:
         return self.fast is not None
 
     def _ids(self, piece: str) -> bytes:
-        if self.fast is None or any(t in piece for t in self.added):
+        if self.one is not None and piece.isascii() and piece.removeprefix(" ").isalpha():
+            ids = self.one(piece)  # the pre-tokenizer does not cut it
+        elif self.fast is None or any(t in piece for t in self.added):
             ids = self.library.encode(piece, add_special_tokens=False).ids
         else:
             ids = self.fast.encode_ordinary(piece)
-        return np.array(ids, dtype="<u4").tobytes()
+        return _packed(ids)
 
     def piece(self, piece: str) -> bytes:
         got = self.bare.get(piece)
@@ -91,18 +102,14 @@ class PieceEncoder:
 
     def _look(self, parts: list[str]) -> list[bytes]:
         led = self.led
-        try:
-            return list(map(led.__getitem__, parts))
-        except KeyError:
-            out = []
-            for p in parts:
-                got = led.get(p)
-                if got is None:
-                    got = self._ids(" " + p)
+        out = list(map(led.get, parts))
+        if None in out:
+            for n, p in enumerate(parts):
+                if out[n] is None:
+                    out[n] = got = self._ids(" " + p)
                     if len(led) < self.most and len(p) < LONGEST:
                         led[p] = got
-                out.append(got)
-            return out
+        return out
 
     def parts(self, text: str) -> list[bytes]:
         """Ids of each piece, in order."""
@@ -117,7 +124,6 @@ class PieceEncoder:
         return b"".join(self.parts(text)) if text else b""
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str) -> PieceEncoder:
-    """One per worker process and file."""
-    return PieceEncoder(path)
+    """The worker process keeps one."""
+    return resident(("encoder", path), lambda: PieceEncoder(path))

@@ -1,7 +1,10 @@
-"""Shared helpers: tables, the shared folder and Arrow row emission."""
+"""Shared helpers: tables, the shared folder, memory of Python workers and Arrow row emission."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -16,20 +19,84 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, set here only where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local master may leave it unset (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='quillstone-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
+#: Spark's setting to remove a query's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and reread it: cuts the lineage and survives lost executors."""
+    """Write df to the shared folder and reread it: cuts the lineage and survives lost executors.
+
+    What comes after reads the table, so the shuffle files behind it go once it stands.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes tables of written() that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.table_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bytes of texts that go to a Python worker at once, unless the session says otherwise.
+BATCH_BYTES = 4 << 20
+_BATCHES, _SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts reach Python in batches of BATCH_BYTES: at Spark's own bound every task holds 64 MB several times over.
+
+    Results do not depend on it; a session that has set its own bound keeps it.
+    """
+    if spark.conf.get(_BATCHES) == _SPARKS_OWN:
+        spark.conf.set(_BATCHES, str(BATCH_BYTES))
+
+
+_held: dict = {}
+
+
+def resident(key, make):
+    """An object that a worker process keeps between tasks: make()'s, for the last key asked for. Others go."""
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        _held[key] = make()
+    return _held[key]
+
+
+def light(batches, keeping: bool = False):
+    """Passes batches on; what earlier operators kept goes first unless keeping, and what a task has freed goes to the system after."""
+    if not keeping:
+        _held.clear()
+    yield from batches
+    release()
+
+
+def release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where there is no glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def row_ids():
@@ -66,11 +133,15 @@ def text_or_empty(c: str = "text"):
 
 
 def keep_rows(df: DataFrame, text_col: str, test) -> DataFrame:
-    """Rows of df whose text passes test(texts) -> booleans; null texts are given as empty."""
+    """Rows of df whose text passes test(texts) -> booleans; null texts are given as empty.
+
+    Columns are passed on by place, whatever their names.
+    """
     at = df.columns.index(text_col)
+    small_batches(df.sparkSession)
 
     def keep(batches):
-        for batch in batches:
+        for batch in light(batches):
             yield batch.filter(pa.array(test([t or "" for t in batch.column(at).to_pylist()]), pa.bool_()))
 
     return df.mapInArrow(keep, df.schema)

@@ -141,7 +141,7 @@ def _covered(index: Index, texts: list[str]) -> tuple[list[list[int]], list[list
     """Of each text, the items that share a run with it and their coverage."""
     items: list[list] = [[] for _ in texts]
     cover: list[list] = [[] for _ in texts]
-    for lo, hi in slices(texts, 1_000_000):
+    for lo, hi in slices(texts, 250_000):
         w = flat.words_of(texts[lo:hi])
         h = flat.hashes(w)
         grams, doc = flat.shingles(h, w.bounds, index.min_tile)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import bpe
-from quillstone.llm.common import id_texts, partitions, row_ids, written
+from quillstone.llm.common import forget, id_texts, light, partitions, row_ids, small_batches, written
 
 BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4096, 3, 2, 6, 4
 #: A sequence filled to this share is never taken apart by pooling.
@@ -33,7 +33,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
 
     def cut(batches):
         enc, end, items = bpe.encoder(tokenizer_path), np.array([end_id], "<u4").tobytes(), row_ids()
-        for batch in batches:
+        for batch in light(batches, keeping=True):
             ids, texts = id_texts(batch)
             rows = []
             for i, t in zip(ids, texts):
@@ -49,6 +49,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
                 names=["item", "id", "piece", "start", "length", "ids_crc32"],
             )
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(cut, f"item long, id {kind}, piece int, start long, length long, ids_crc32 long")
 

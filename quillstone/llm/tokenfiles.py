@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm import bpe
-from quillstone.llm.common import id_texts, partitions, shared_dir
+from quillstone.llm.common import id_texts, light, partitions, shared_dir, small_batches
 
 MAGIC, VERSION, HEAD = b"QSPL", 1, struct.Struct("<4sBBHIIQ")
 BLOCK_IDS, SEGMENT_IDS = 16_384, 1 << 18
@@ -98,7 +98,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     def write(batches):
         enc, end, shard = bpe.encoder(tokenizer_path), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         ids, parts, at, seq = [], [], 0, 0
-        for batch in batches:
+        for batch in light(batches, keeping=True):
             kind = batch.schema.field(0).type
 
             def segment():
@@ -120,6 +120,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         if parts:
             yield segment()
 
+    small_batches(docs.sparkSession)
     n = shards or partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartitionByRange(n, "id").sortWithinPartitions("id", "text")
     out = rows.mapInArrow(write, f"shard int, seq int, shard_start long, n_ids long, doc_ids array<{kind}>, doc_n_ids array<long>, segment binary")
@@ -138,7 +139,7 @@ def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id") ->
     before = totals.select("shard", (F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))).alias("base"))
 
     def decode(batches):
-        for batch in batches:
+        for batch in light(batches):
             for base, ids, n, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 got = decode_segment(data).tobytes()
                 ends = np.cumsum(np.array(n, np.int64))
