@@ -18,9 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import flat
-from quillstone.llm.common import id_texts, keep_rows, slices
+from quillstone.llm.common import id_texts, keep_rows, light, slices, small_batches
 
 BUCKETS, SWITCH, FLOOR = 1 << 15, 6.0, -12.0
+#: Code points of texts read at once, but for a longer one, and words scored at once.
+PASS_POINTS, PASS_WORDS = 250_000, 1 << 15
 #: First code point of each script range (fixed values); 0 is everything else.
 SCRIPTS = (
     (0x0041, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"),
@@ -42,7 +44,12 @@ def script_of(points: np.ndarray) -> np.ndarray:
 
 
 def _words(texts: list[str]) -> flat.Words:
+    """Runs of letters and marks with a letter in them; letters of unspaced scripts stand alone."""
     w = flat.words_of(texts, "LM")
+    lettered = np.logical_or.reduceat(flat._table("L")[w.points], np.stack([w.start, w.end], 1).ravel())[::2] if len(w.start) else np.ones(0, bool)
+    if not lettered.all():
+        doc = w.doc[lettered]
+        w = flat.Words(w.points, w.start[lettered], w.end[lettered], doc, np.searchsorted(doc, np.arange(len(texts) + 1)))
     at = np.searchsorted(_FROM, w.points[w.start], "right") - 1
     if not _UNSPACED[at].any():
         return w
@@ -78,7 +85,14 @@ class Model:
     scripts: np.ndarray  #: scripts x languages, True where the language uses the script
 
     def scores(self, w: flat.Words) -> np.ndarray:
-        """words x languages; the best of a word is 0, none is under FLOOR."""
+        """words x languages; the best of a word is 0, none is under FLOOR. Of long texts some words at a time."""
+        out = np.zeros((len(w.start), len(self.languages)), np.float32)
+        for lo in range(0, len(w.start), PASS_WORDS):
+            hi = lo + PASS_WORDS
+            out[lo:hi] = self._scores(flat.Words(w.points, w.start[lo:hi], w.end[lo:hi], w.doc[lo:hi], w.bounds))
+        return out
+
+    def _scores(self, w: flat.Words) -> np.ndarray:
         k = len(self.languages)
         bucket, word = _grams(w)
         out = np.stack([np.bincount(word, weights=self.logp[bucket, j], minlength=len(w.start)) for j in range(k)], 1).astype(np.float32)
@@ -123,21 +137,30 @@ def viterbi(score: np.ndarray, bounds: np.ndarray, switch: float = SWITCH) -> np
     return label
 
 
-def predict(model: Model, texts: list[str]) -> tuple[list[str], list[float]]:
-    out, score = ["und"] * len(texts), [0.0] * len(texts)
+def predict(model: Model, texts: list[str]) -> tuple[list[str], list[float], list[float]]:
+    """Language, its share of the letters, and the share of letters in scripts that the model knows, of each text."""
+    out, score, known = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
     if not model.languages:
-        return out, score
-    for lo, hi in slices(texts, 1_000_000):
+        return out, score, known
+    k = len(model.languages)
+    use = model.scripts.any(1)
+    size, scores, length, used = [np.zeros(1, np.int64)], [np.zeros((0, k), np.float32)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    for lo, hi in slices(texts, PASS_POINTS):
         w = _words(texts[lo:hi])
-        if not len(w.start):
-            continue
-        label = viterbi(model.scores(w), w.bounds)
-        k = len(model.languages)
-        letters = np.bincount(w.doc * k + label, weights=w.end - w.start, minlength=(hi - lo) * k).reshape(-1, k)
-        total, best = letters.sum(1), letters.argmax(1)
-        for d in np.flatnonzero(total):
-            out[lo + d], score[lo + d] = model.languages[best[d]], float(letters[d, best[d]] / total[d])
-    return out, score
+        size.append(np.diff(w.bounds))
+        scores.append(model.scores(w))
+        length.append(w.end - w.start)
+        used.append(use[script_of(w.points[w.start])])
+    # all texts are stepped through side by side: the number of steps is that of the longest
+    bounds, n, used = np.cumsum(np.concatenate(size)), np.concatenate(length), np.concatenate(used)
+    label = viterbi(np.concatenate(scores), bounds)
+    doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    letters = np.bincount(doc * k + label, weights=n, minlength=len(texts) * k).reshape(-1, k)
+    used = np.bincount(doc, n * used, len(texts))
+    total, best = letters.sum(1), letters.argmax(1)
+    for d in np.flatnonzero(total):
+        out[d], score[d], known[d] = model.languages[best[d]], float(letters[d, best[d]] / total[d]), float(used[d] / total[d])
+    return out, score, known
 
 
 def spans(model: Model, text: str) -> list[tuple[int, int, str]]:
@@ -166,14 +189,16 @@ def train(labelled: DataFrame, per_language: int = 1000, lang_col: str = "lang",
 
     def count(batches):
         grams, scripts = {}, {}
-        for batch in batches:
+        for batch in light(batches):
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lang in set(langs):
                 of = [t for x, t in zip(langs, texts) if x == lang]
-                for lo, hi in slices(of, 1_000_000):
+                for lo, hi in slices(of, PASS_POINTS):
                     w = _words(of[lo:hi])
+                    for at in range(0, len(w.start), PASS_WORDS):
+                        some = flat.Words(w.points, w.start[at : at + PASS_WORDS], w.end[at : at + PASS_WORDS], w.doc, w.bounds)
+                        grams[lang] = grams.get(lang, 0) + np.bincount(_grams(some)[0], minlength=BUCKETS)
                     if len(w.start):
-                        grams[lang] = grams.get(lang, 0) + np.bincount(_grams(w)[0], minlength=BUCKETS)
                         scripts[lang] = scripts.get(lang, 0) + np.bincount(script_of(w.points[w.start]), minlength=len(NAMES))
         yield pa.RecordBatch.from_arrays([pa.array(list(grams)), pa.array([g.astype("<i4").tobytes() for g in grams.values()], pa.binary()), pa.array([s.astype("<i4").tobytes() for s in scripts.values()], pa.binary())] if grams else [pa.array([], pa.string()), pa.array([], pa.binary()), pa.array([], pa.binary())], names=["lang", "grams", "scripts"])
 
@@ -197,13 +222,27 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs with a language that labels at least least_score of their letters, columns unchanged.
+def has_letter(texts: list[str]) -> list[bool]:
+    return [any(c.isalpha() for c in t) for t in texts]
 
-    What goes: null texts, texts without a letter, and mixtures in which no language leads so far.
+
+def keep_identified(docs: DataFrame, least_known: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs whose language is one of those learned, columns unchanged.
+
+    What goes: null texts, texts without a letter, and texts of whose letters less than
+    least_known are in words of a script that a learned language uses. Mixtures of learned
+    languages stay, whatever their shares; if nothing could be learned, all with a letter
+    stay. Repeated rows and null ids are judged like any other; other columns are passed on.
     """
     model = train(docs.filter(F.col(id_col).isNotNull() & ~held_out(id_col)), lang_col=lang_col, text_col=text_col, id_col=id_col)
-    return keep_rows(docs, text_col, lambda texts: [lang != "und" and score >= least_score for lang, score in zip(*predict(model, texts))])
+    if not model.languages:
+        return keep_rows(docs, text_col, has_letter)
+
+    def keep(texts):
+        lang, _, known = predict(model, texts)
+        return [x != "und" and share >= least_known for x, share in zip(lang, known)]
+
+    return keep_rows(docs, text_col, keep)
 
 
 def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -218,9 +257,10 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
         model = train(docs.filter(F.col(id_col).isNotNull() & ~held_out(id_col)), lang_col=lang_col, text_col=text_col, id_col=id_col)
 
     def label(batches):
-        for batch in batches:
-            lang, score = predict(model, id_texts(batch)[1])
+        for batch in light(batches):
+            lang, score, _ = predict(model, id_texts(batch)[1])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["id", "held_out", "lang_pred", "score"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out(id_col).alias("held_out"))
     return rows.mapInArrow(label, f"id {rows.schema['id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
