@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import written
+from quillstone.llm.common import forget, written
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, name: str) -> DataFrame:
     """Each vertex links its neighbours (larger ones, or smaller and itself) to the least of them all."""
     if large:
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    linked = both.join(least, "u")
+    # written, so that the join can split a vertex with very many links
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-least")
+    linked = both.hint("merge").join(least, "u")
     if large:
         out = linked.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = linked.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-    return out.filter("u != v").distinct()
+    star = written(out.filter("u != v").distinct(), name)
+    forget(least)
+    return star
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -32,9 +35,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """
     now = written(edges.select("u", "v").filter("u != v").distinct(), name)
     while True:
-        now = written(_star(_star(now, True), False), name)
-        # done when every edge leads to a root: no vertex is both an end and a root
-        ends = now.select(F.col("u").alias("x")).distinct()
-        if now.groupBy("u").count().filter("count > 1").isEmpty() and now.join(ends, now["v"] == ends["x"], "left_semi").isEmpty():
+        # done when every edge leads to a root: no vertex has two, and none is both an end and a root
+        several = now.groupBy("u").agg(F.min("v").alias("a"), F.max("v").alias("b")).filter("a != b")
+        if several.isEmpty() and now.filter("u <= v").isEmpty() and now.select("v").distinct().join(now.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
+        large = _star(now, True, name)
+        small = _star(large, False, name)
+        forget(now, large)
+        now = small
     return now.select(F.col("u").alias("v"), F.col("v").alias("root")).unionAll(now.select("v", F.col("v").alias("root")).distinct())

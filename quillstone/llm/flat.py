@@ -59,15 +59,16 @@ def words_of(texts: list[str], first: str = "LMN") -> Words:
     return Words(points, start, end, doc, bounds)
 
 
-def hashes(w: Words) -> np.ndarray:
-    """A 64-bit hash of each word."""
-    if not len(w.start):
-        return np.zeros(0, np.uint64)
-    n = w.end - w.start
-    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)  # place within the word
-    powers = _powers(1 << max(10, int(n.max() - 1).bit_length()))
-    value = (w.points[np.repeat(w.start, n) + at].astype(np.uint64) + _ODD) * powers[at]
-    return mix(np.add.reduceat(value, np.cumsum(n) - n))
+def hashes(w: Words, at_once: int = 1 << 15) -> np.ndarray:
+    """A 64-bit hash of each word, some words at a time."""
+    out = np.zeros(len(w.start), np.uint64)
+    for lo in range(0, len(out), at_once):
+        start, n = w.start[lo : lo + at_once], (w.end - w.start)[lo : lo + at_once]
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)  # place within the word
+        powers = _powers(1 << max(10, int(n.max() - 1).bit_length()))
+        value = (w.points[np.repeat(start, n) + at].astype(np.uint64) + _ODD) * powers[at]
+        out[lo : lo + at_once] = mix(np.add.reduceat(value, np.cumsum(n) - n))
+    return out
 
 
 def shingles(h: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

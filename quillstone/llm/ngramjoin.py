@@ -2,11 +2,13 @@
 
 Texts with equal sets of word n-grams become one class by pre-aggregation; only one row
 of each class goes on. Bands and rows are chosen for a target recall at the threshold.
-Band hashes are shuffled; each bucket links its members to its least one, so that links
-grow with rows, not with pairs. Components of these links hold every pair that shares a
-bucket. A component is dealt to tasks by tiles of TILE classes, a pair of tiles to each,
-and all its pairs are verified there on full n-gram sets, from which exact numbers of
-links and the verified components follow; no pair is ever a row.
+Band hashes are shuffled. Buckets that hold the same classes are one bucket. Pairs are
+verified within buckets, on full n-gram sets: a bucket is dealt to tasks by tiles of TILE
+classes, a pair of tiles to each, and a pair that meets in several buckets is verified in
+the least of them only. So what is compared is each candidate pair once, and what is moved
+grows with the buckets, not with what candidates chain together; no pair is ever a row.
+Exact numbers of links are sums over buckets, and components are closed over verified
+links alone.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm import flat
-from quillstone.llm.common import id_texts, partitions, row_ids, slices, written
+from quillstone.llm.common import forget, id_texts, light, row_ids, slices, small_batches, written
 from quillstone.llm.components import components
 
 TILE = 256
@@ -42,17 +44,27 @@ def _constants(n: int) -> tuple[np.ndarray, np.ndarray]:
     return rnd.integers(1, 1 << 32, n, np.uint64) | np.uint64(1), rnd.integers(0, 1 << 32, n, np.uint64)
 
 
+def packed(grams: np.ndarray) -> bytes:
+    """Sorted 48-bit values in six bytes each."""
+    return grams.astype("<u4").tobytes() + (grams >> np.uint64(32)).astype("<u2").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n = len(data) // 6
+    return np.frombuffer(data, "<u4", n).astype(np.uint64) | np.frombuffer(data, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32)
+
+
 def signatures(docs: DataFrame, n: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: rid (unique once written), id, th (of the text), n (distinct n-grams), k1, k2 (of the set), bands, grams (sorted uint32)."""
+    """Per row: rid (unique once written), id, th (of the text), n (distinct n-grams), k1, k2 (of the set), bands, grams (as packed())."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def sign(batches):
         a, b = _constants(bands * rows)
         salt = flat.mix(np.arange(1, bands + 1, dtype=np.uint64))
         rids = row_ids()
-        for batch in batches:
-            ids, texts = id_texts(batch)
-            for lo, hi in slices(texts, 1_000_000):
+        for batch in light(batches):
+            _, texts = id_texts(batch)
+            for lo, hi in slices(texts, 250_000):
                 w = flat.words_of(texts[lo:hi])
                 h = flat.hashes(w)
                 out = []
@@ -65,11 +77,11 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int, id_col: str, text
                     elif len(own):  # fewer words than n: all of them are its one n-gram
                         g = np.array([np.bitwise_xor.reduce(own * (np.arange(len(own), dtype=np.uint64) * np.uint64(2) + np.uint64(1))) + np.uint64(len(own))], np.uint64)
                     g = flat.mix(g)
-                    small = np.unique((g >> np.uint64(32)).astype("<u4"))
                     if len(g):
                         full = np.unique(g)
+                        small = np.unique(full >> np.uint64(16))
                         keys = (int(full.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(flat.mix(full ^ np.uint64(0x5851F42D4C957F2D)))))
-                        s = small.astype(np.uint64)
+                        s = small >> np.uint64(16)
                         low = np.full(bands * rows, np.uint64(1 << 63))
                         for at in range(0, len(s), 2048):
                             part = s[at : at + 2048, None] * a
@@ -79,7 +91,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int, id_col: str, text
                         band = salt.copy()
                         for r in range(rows):
                             band = flat.mix(band ^ (low[r::rows] + flat._ODD))
-                        out.append((len(small), *keys, band.view(np.int64), small.tobytes()))
+                        out.append((len(small), *keys, band.view(np.int64), packed(small)))
                     else:
                         out.append((0, 0, 0, np.zeros(0, np.int64), b""))
                 signed = lambda x: x - (1 << 64) if x >> 63 else x
@@ -97,47 +109,65 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int, id_col: str, text
                     names=["rid", "id", "th", "n", "k1", "k2", "bands", "grams"],
                 )
 
+    small_batches(docs.sparkSession)
     rows_in = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
     return rows_in.mapInArrow(sign, f"rid long, id {kind}, th long, n int, k1 long, k2 long, bands array<long>, grams binary")
 
 
-def _links(sets: list[np.ndarray], tiles: np.ndarray, pair: tuple[int, int], threshold: float):
-    """Yields (i, partners) of the pairs of this pair of tiles that reach the threshold."""
+def _links(sets: list[np.ndarray], mine: np.ndarray, threshold: float):
+    """Yields (i, partners) of the pairs i, j with mine[i, j] that reach the threshold."""
     _, inverse = np.unique(np.concatenate(sets), return_inverse=True)
     size = np.array([len(s) for s in sets])
-    start = np.cumsum(size) - size
+    end = np.cumsum(size)
+    start = end - size
     seen = np.zeros(int(inverse.max()) + 1, bool)
-    within = pair[0] == pair[1]
-    for i in range(len(sets)):
-        later = np.arange(len(sets)) > i
-        mine = later if within else later & (tiles != tiles[i])
-        if not mine.any():
-            continue
-        own = inverse[start[i] : start[i] + size[i]]
+    mine = mine & (np.minimum.outer(size, size) >= threshold * np.maximum.outer(size, size) - 1e-9)
+    for i in np.flatnonzero(mine.any(1)).tolist():
+        others = np.flatnonzero(mine[i])
+        own = inverse[start[i] : end[i]]
         seen[own] = True
-        common = np.add.reduceat(seen[inverse], start)
+        if 3 * len(others) > len(sets):
+            common = np.add.reduceat(seen[inverse], start)[others]
+        else:
+            common = np.array([np.count_nonzero(seen[inverse[start[j] : end[j]]]) for j in others.tolist()])
         seen[own] = False
-        yield i, np.flatnonzero(mine & (common >= threshold * (size + size[i] - common) - 1e-9))
+        yield i, others[common >= threshold * (size[others] + size[i] - common) - 1e-9]
+
+
+def _owned(bucket: int, own: list[np.ndarray]) -> np.ndarray:
+    """Whether each pair of rows shares no bucket less than this one. own: each row's buckets."""
+    earlier = [b[b < bucket] for b in own]
+    value, inverse, n = np.unique(np.concatenate(earlier), return_inverse=True, return_counts=True)
+    column = np.cumsum(n > 1) - 1  # those that one row alone has tell nothing
+    member = np.zeros((len(own), int((n > 1).sum())), np.float32)
+    row = np.repeat(np.arange(len(own)), [len(e) for e in earlier])
+    several = n[inverse] > 1
+    member[row[several], column[inverse[several]]] = 1
+    return member @ member.T == 0
 
 
 def _verify(rows: DataFrame, threshold: float) -> DataFrame:
-    """rows: comp, ti, tj, tile, rid, grams; all rows of a (comp, ti, tj) in one task, in order."""
+    """rows: bucket, ti, tj, tile, rid, own, grams; all rows of a (bucket, ti, tj) in one task, in order.
+
+    Returns rid, root (the least rid it is tied to here), n (its links here) of the rows with links.
+    """
 
     def groups(batches):
         key, held = None, []
-        for batch in batches:
-            for comp, ti, tj, tile, rid, grams in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if (comp, ti, tj) != key:
-                    if held:
+        for batch in light(batches):
+            own = batch.column(5)
+            for bucket, ti, tj, tile, rid, buckets, grams in zip(*(batch.column(i).to_pylist() for i in range(5)), (np.asarray(x.values) for x in own), batch.column(6).to_pylist()):
+                if (bucket, ti, tj) != key:
+                    if len(held) > 1:
                         yield key, held
-                    key, held = (comp, ti, tj), []
-                held.append((rid, tile, np.frombuffer(grams, "<u4")))
-        if held:
+                    key, held = (bucket, ti, tj), []
+                held.append((rid, tile, buckets, unpacked(grams)))
+        if len(held) > 1:
             yield key, held
 
     def verify(batches):
         rid, root, n = [], [], []
-        for (_, ti, tj), held in groups(batches):
+        for (bucket, ti, tj), held in groups(batches):
             parent, links = list(range(len(held))), [0] * len(held)
 
             def find(x):
@@ -146,15 +176,20 @@ def _verify(rows: DataFrame, threshold: float) -> DataFrame:
                     x = parent[x]
                 return x
 
-            for i, partners in _links([g for _, _, g in held], np.array([t for _, t, _ in held]), (ti, tj), threshold):
+            tile = np.array([h[1] for h in held])
+            mine = np.triu(_owned(bucket, [h[2] for h in held]), 1)
+            if ti != tj:
+                mine &= tile[:, None] != tile
+            for i, partners in _links([h[3] for h in held], mine, threshold):
                 links[i] += len(partners)
                 for j in partners.tolist():
                     links[j] += 1
                     x, y = sorted((find(i), find(j)))
                     parent[y] = x
-            rid += [r for r, _, _ in held]
-            root += [held[find(x)][0] for x in range(len(held))]  # held is in order of rid, so this is the least
-            n += links
+            some = [x for x in range(len(held)) if links[x]]
+            rid += [held[x][0] for x in some]
+            root += [held[find(x)][0] for x in some]  # held is in order of rid, so this is the least
+            n += [links[x] for x in some]
             if len(rid) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(root, pa.int64()), pa.array(n, pa.int64())], names=["rid", "root", "n"])
                 rid, root, n = [], [], []
@@ -164,17 +199,23 @@ def _verify(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class of jaccard_join, columns unchanged: that of the least id."""
-    joined = written(_joined(docs, threshold, n, id_col, text_col, TILE), "ngram-joined")
-    firsts = joined.filter("is_first").groupBy("id", "th").agg(F.count("*").alias("stay"))
-    again = joined.groupBy("id", "th").count().filter("count > 1")
-    columns = [F.col(f"d.{c}") for c in docs.columns]
-    of = docs.withColumn("_th", F.xxhash64(text_col)).alias("d").join(firsts.alias("f"), F.col(f"d.{id_col}").eqNullSafe(F.col("f.id")) & (F.col("d._th") == F.col("f.th")))
-    if again.isEmpty():
-        return of.select(columns)
-    # rows that repeat both id and text: as many stay as are first of a class
-    by = Window.partitionBy(f"d.{id_col}", "d._th").orderBy("d._th")
-    return of.withColumn("_nth", F.row_number().over(by)).filter("_nth <= stay").select(columns)
+    """One row of each class of jaccard_join: that of the least id; columns unchanged, whatever their names.
+
+    Wordless and null texts stay, each row of them. Of rows that repeat both id and text
+    one stays, whichever; null ids give way to others; an empty table gives no rows.
+    """
+    rows, *tables = _joined(docs, threshold, n, id_col, text_col, TILE)
+    joined = written(rows, "ngram-joined")
+    forget(*tables)
+    firsts = joined.groupBy("id", "th").agg(F.count_if("is_first").alias("stay"), F.count("*").alias("n")).filter("stay > 0")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(row, F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"))
+    of = rows.join(firsts.withColumnsRenamed({"id": "i", "th": "t"}), F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")))
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns]
+    whole = of.filter("stay = n").select(own)
+    if firsts.filter("stay < n").isEmpty():
+        return whole
+    return whole.unionAll(of.filter("stay < n").groupBy("id", "th").agg(F.first("row").alias("row")).select(own))
 
 
 def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
@@ -186,52 +227,47 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col: st
     included; is_first: True for one row of each class. Texts of fewer than n words have all
     their words as their one n-gram; null and wordless texts have none and stand alone.
     Repeated rows are copies; null ids count as least of all only where no other id is there.
-    Sets are compared by 32-bit n-gram hashes. Other columns are not read.
+    Sets are compared by 48-bit n-gram hashes; pairs that share no band are not seen, which
+    bands_for() bounds. Other columns are not read.
     """
-    return _joined(docs, threshold, n, id_col, text_col, tile).drop("th").withColumnRenamed("id", id_col)
+    return _joined(docs, threshold, n, id_col, text_col, tile)[0].drop("th").withColumnRenamed("id", id_col)
 
 
-def _joined(docs: DataFrame, threshold: float, n: int, id_col: str, text_col: str, tile: int) -> DataFrame:
-    spark = docs.sparkSession
+def _joined(docs: DataFrame, threshold: float, n: int, id_col: str, text_col: str, tile: int) -> tuple[DataFrame, ...]:
+    """The joined rows and the tables that they are read from."""
     bands, rows = bands_for(threshold)
     base = written(signatures(docs, n, bands, rows, id_col, text_col), "ngram-signatures")
     some = base.filter("n > 0")
-    classes = written(some.groupBy("k1", "k2").agg(F.min("rid").alias("rep"), F.count("*").alias("n_copies"), F.min("id").alias("copy_of")), "ngram-classes")
+    first = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "rid")).alias("f")
+    classes = written(some.groupBy("k1", "k2").agg(F.min("rid").alias("rep"), F.count("*").alias("n_copies"), F.min("id").alias("copy_of"), first), "ngram-classes")
     # merge joins: what is joined grows with the input, so the plan shall not turn on its size
-    firsts = some.hint("merge").join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi")
+    firsts = some.select("rid", "bands").hint("merge").join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi")
     # band hashes are salted by band, so one long is the bucket's key
-    banded = firsts.select("rid", F.explode("bands").alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.min("rid").alias("hub"), F.count("*").alias("size")).filter("size > 1").select("bucket", "hub")
-    edges = banded.hint("merge").join(buckets, "bucket").filter("rid != hub").select(F.col("rid").alias("u"), F.col("hub").alias("v")).distinct()
-    groups = written(components(edges, "ngram-candidates"), "ngram-groups")
-    sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
-    members = groups.join(sizes, "root").select(F.col("v").alias("rid"), F.col("root").alias("comp"), F.ceil(F.col("size") / tile).cast("int").alias("tiles"))
-    members = members.withColumn("tile", F.pmod(F.xxhash64("rid"), "tiles").cast("int"))
+    banded = written(firsts.select("rid", F.explode("bands").alias("bucket")), "ngram-banded")
+    mixed = F.xxhash64("rid")
+    buckets = banded.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(mixed).alias("x"), F.sum(F.shiftright(mixed, 32)).alias("s")).filter("size > 1")
+    # of the buckets with the same classes, the least
+    kept = written(buckets.groupBy("size", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket", "size"), "ngram-buckets")
+    members = banded.hint("merge").join(kept, "bucket").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("bucket", "size"))).alias("own"))  # at most `bands` of them
+    sets = written(members.hint("merge").join(some.select("rid", "grams"), "rid"), "ngram-sets")
+    dealt = sets.select("rid", "grams", F.col("own.bucket").alias("own"), F.explode("own").alias("b")).select("rid", "grams", "own", "b.bucket", F.ceil(F.col("b.size") / tile).cast("int").alias("tiles"))
+    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("rid"), "tiles").cast("int"))
     # every tile meets every other and itself, once
-    members = members.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
-    members = members.select("comp", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"), "tile", "rid", "tiles")
-    sets = members.hint("merge").join(some.select("rid", "grams"), "rid").repartition(max(partitions(spark), 16), "comp", "ti", "tj")
-    sets = sets.sortWithinPartitions("comp", "ti", "tj", "rid").select("comp", "ti", "tj", "tile", "rid", "grams")
-    verified = written(_verify(sets, threshold), "ngram-verified")
-    links = verified.groupBy("rid").agg(F.sum("n").alias("n_links"), F.min("root").alias("root"), F.max("root").alias("most"))
-    # only where a class met several tiles can its roots differ and need tying together
-    if links.filter("root != most").isEmpty():
-        tied = links.select("rid", "root", "n_links")
-    else:
-        roots = components(verified.select(F.col("rid").alias("u"), F.col("root").alias("v")), "ngram-tied")
-        tied = links.select("rid", "n_links").join(roots.withColumnRenamed("v", "rid"), "rid", "left").select("rid", F.coalesce("root", "rid").alias("root"), "n_links")
-    per_set = classes.join(tied.withColumnRenamed("rid", "rep"), "rep", "left").select("k1", "k2", "n_copies", "copy_of", F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    of_root = per_set.groupBy("root").agg(F.min("copy_of").alias("class_id"))
-    per_set = per_set.join(of_root, "root")
-    first = some.join(per_set.select("k1", "k2", "root", "class_id"), ["k1", "k2"]).groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "rid")).alias("f"))
-    per_set = per_set.join(first.select("root", F.col("f.rid").alias("first_rid")), "root").select("k1", "k2", "class_id", "copy_of", "n_links", "n_copies", "first_rid")
-    out = base.select("rid", "id", "th", "k1", "k2").join(per_set, ["k1", "k2"], "left")
-    return out.select(
-        "id",
-        "th",
-        F.coalesce("class_id", "id").alias("class_id"),
-        F.coalesce("copy_of", "id").alias("copy_of"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
-        F.coalesce(F.col("first_rid") == F.col("rid"), F.lit(True)).alias("is_first"),
-    )
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
+    dealt = dealt.select("bucket", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"), "tile", "rid", "own", "grams")
+    dealt = dealt.repartition("bucket", "ti", "tj").sortWithinPartitions("bucket", "ti", "tj", "rid")
+    verified = written(_verify(dealt, threshold), "ngram-verified")
+    links = verified.groupBy("rid").agg(F.sum("n").alias("n_links"))
+    roots = written(components(verified.select(F.col("rid").alias("u"), F.col("root").alias("v")), "ngram-tied"), "ngram-roots")
+    tied = links.join(roots.withColumnRenamed("v", "rid"), "rid").select(F.col("rid").alias("rep"), "root", "n_links")
+    per_set = written(classes.hint("merge").join(tied, "rep", "left").select("k1", "k2", "n_copies", "copy_of", "f", F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "ngram-sets-tied")
+    forget(banded, kept, sets, verified, classes, roots)
+    # written, so that the join can split a root with very many sets
+    of_root = written(per_set.groupBy("root").agg(F.min("copy_of").alias("class_id"), F.min("f").alias("f")), "ngram-of-root")
+    tied_sets = per_set
+    per_set = per_set.hint("merge").join(of_root.select("root", "class_id", F.col("f.rid").alias("first_rid")), "root").select("k1", "k2", "class_id", "copy_of", "n_links", "n_copies", "first_rid")
+    tied_rows = some.select("rid", "id", "th", "k1", "k2").hint("merge").join(per_set, ["k1", "k2"])
+    out = tied_rows.select("id", "th", "class_id", "copy_of", "n_links", "n_copies", (F.col("first_rid") == F.col("rid")).alias("is_first"))
+    # rows without words share no key: they are not joined at all
+    alone = base.filter("n = 0").select("id", "th", F.col("id").alias("class_id"), F.col("id").alias("copy_of"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.lit(True).alias("is_first"))
+    return out.unionAll(alone), base, tied_sets, of_root
