@@ -1,16 +1,19 @@
 """Personal data by patterns and bootstrapped contexts, in DataFrame functions only.
 
-Base spans come from four patterns with checks. They are the seeds of a bootstrap: the
-one to three words in front of a seed, those behind it, and its cue (a word and one of
+Base spans come from four patterns with checks; values that a text itself calls a secret
+(`token = "..."`) are seeds of a fifth kind. All are the seeds of a bootstrap: the one to
+three words in front of a seed, those behind it, and its cue (the word before one of
 : = #) are lexical patterns, digits folded; words with digits or @ that no base span
 overlaps are their other instances. Over the whole corpus Spark counts, for each
 pattern, its distinct instances and those already known; patterns with enough known
 ones, and a high enough share of them, make their other instances known too, which may
-raise further patterns, until a round finds none. Places of instances found so are added
-as spans of the instance's kind: everywhere, or where one of these patterns or any cue is.
+raise further patterns, until a round finds none. Places of secrets and of instances found
+so are added as spans of the instance's kind: everywhere, or where one of these patterns
+or any cue is.
 
 Positions are code points: a pattern's matches and the gaps between them alternate, so
-running sums of their lengths place every match. Patterns are possessive, so that long
+running sums of their lengths place every match, and the words at the ends of gaps and
+matches are its context, however long they are. Patterns are possessive, so that long
 runs need neither deep recursion nor repeated scans.
 """
 
@@ -30,13 +33,21 @@ MATCH = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: What stands behind a word for secrets, and may be quoted, without the quotes.
+SECRET = r"(?<=(?i:token|secret|password|passwd|api[_-]?key)[\x20\t]{0,3}[:=][\x20\t]{0,3}[\x22\x27]?)(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_-]{16,}+"
+#: Kinds that are found where the text is: the base ones and secrets.
+SEEDS = (*KINDS, "secret")
 #: Any text with a match has this.
-HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
+HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "secret": r"(?i)(?:token|secret|password|passwd|api[_-]?key)[\x20\t]{0,3}[:=]"}
 TOKEN = r"(?:(?<!\S)|(?<=[:=#]))[^\s0-9@:=#]*+[0-9@]\S*+"  # a word, without a cue that it begins with
 WORD = r"[\p{L}\p{N}]+"
-CUE = r"(?:\S{0,40}[\p{L}\p{N}]|\S{1,40}\s{1,3})[:=#]\s{0,3}$"
-RUN, NEAR = 512, 90
-LEAST_KNOWN, LEAST_SHARE = 3, 0.5
+FIRST_WORDS = r"^[^\p{L}\p{N}]*+[\p{L}\p{N}]++(?:[^\p{L}\p{N}]++[\p{L}\p{N}]++){0,2}+"
+RUN = 512
+#: A context counts with so many distinct known instances of one kind, such a share of all
+#: its instances known to be of that kind, and such a share of its known ones.
+LEAST_KNOWN, LEAST_SHARE, LEAST_PURITY = 3, 0.5, 0.8
+#: Whole words that a base pattern matches: where its check has failed, no context makes them personal data.
+JUDGED = r"^(?:[0-9](?:[\x20-]?[0-9]){12,18}|[0-9]+(?:\.[0-9]+){3})$"
 
 
 def _digits(m: str) -> str:
@@ -56,53 +67,66 @@ def _valid(kind: str, m: str) -> str:
         "ip": f"{m} rlike r'^(?:0*(?:[0-9]{{1,2}}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])(?:\\.|$)){{4}}'",
         "card": f"length({d}) between 13 and 19 and {_luhn(d)}",
         "phone": f"length({d}) between 9 and 15",
+        "secret": f"{m} rlike '[0-9]' and {m} rlike '[A-Za-z]'",
     }[kind]
 
 
-def _placed(df: DataFrame, text: str, pattern: str, hint: str, out: str) -> DataFrame:
-    """Adds `out`: array<struct<match, start, end, before, after>>; before and after: up to NEAR characters of the text around."""
+def _words(s: str) -> str:
+    return f"regexp_extract_all(regexp_replace(lower({s}), '[0-9]', '0'), r'{WORD}', 0)"
+
+
+def _ends(s: str) -> str:
+    """Of a string its first three words h and last three t, digits folded, and its cue c ('' if none)."""
+    first, last = f"regexp_extract({s}, r'{FIRST_WORDS}', 0)", f"reverse(regexp_extract(reverse({s}), r'{FIRST_WORDS}', 0))"
+    sign = f"right(rtrim(concat(' \\t\\r\\n(', char(34), char(39)), {s}), 1)"
+    return f"transform(array(named_struct('h', {_words(first)}, 't', {_words(last)}, 's', {sign})), e -> named_struct('h', e.h, 't', e.t, 'c', if(e.s in (':', '=', '#'), concat(coalesce(try_element_at(e.t, -1), ''), e.s), '')))[0]"
+
+
+def _placed(df: DataFrame, text: str, pattern: str, hint: str, out: str, contexts: bool = False) -> DataFrame:
+    """Adds `out`: array<struct<match, start, end, ctx>>; ctx: the patterns around, if contexts.
+
+    Those are its cue, '< ' and the last one to three words before, '> ' and the first after;
+    of up to three matches on either side, and the gaps between them.
+    """
     m, g = f"_m_{out}", f"_g_{out}"
-    may = f"{text} rlike r'{hint}'"
-    df = df.withColumn(m, F.expr(f"if({may}, regexp_extract_all({text}, r'{pattern}', 0), cast(array() as array<string>))"))
-    df = df.withColumn(g, F.expr(f"if(size({m}) > 0, split({text}, r'{pattern}', -1), cast(array() as array<string>))"))
-    kind = "array<struct<match:string,start:int,end:int,before:string,after:string>>"
+    none = "cast(array() as array<string>)"
+    df = df.withColumn(m, F.expr(f"if({text} rlike r'{hint}', regexp_extract_all({text}, r'{pattern}', 0), {none})"))
+    df = df.withColumn(g, F.expr(f"if(size({m}) > 0, split({text}, r'{pattern}', -1), {none})"))
+    kind = "array<struct<match:string,start:int,end:int,ctx:array<string>>>"
     p, n, at = f"_p_{out}", f"_n_{out}", f"_at_{out}"
+    ctx = none
+    if contexts:
+        em, eg = f"_em_{out}", f"_eg_{out}"
+        df = df.withColumn(em, F.expr(f"transform({m}, x -> {_ends('x')})")).withColumn(eg, F.expr(f"transform({g}, x -> {_ends('x')})"))
+        words = lambda a, k, side: f"coalesce(get({a}, {k}).{side}, {none})"
+        # a gap without a word may be all that parts two matches
+        # in order of the text: gap, match, gap, match, ..., gap
+        left, right = [words(eg, "i - 3", "t")], [words(eg, "i + 1", "h")]
+        for k in (1, 2, 3):
+            left += [words(em, f"i - {4 - k}", "t"), words(eg, f"i - {3 - k}", "t")]
+            right += [words(em, f"i + {k}", "h"), words(eg, f"i + {k + 1}", "h")]
+        some = lambda side, put: f"transform(filter(array(1, 2, 3), n -> n <= size(c.{side})), n -> concat({put}))"
+        around = f"named_struct('l', slice(reverse(concat({', '.join(left)})), 1, 3), 'r', slice(concat({', '.join(right)}), 1, 3))"
+        ctx = f"transform(array({around}), c -> concat(filter(array({eg}[i].c), q -> q != ''), {some('l', _JOIN_LEFT)}, {some('r', _JOIN_RIGHT)}))[0]"
+    df = df.withColumn(p, F.expr(f"transform({m}, (m, i) -> named_struct('m', m, 'g', length({g}[i]), 'c', {ctx}))"))
     # running sums by blocks, so that a text of very many matches takes no quadratic time
     blocks = f"sequence(0, (size({p}) - 1) div {RUN})"
-    # a gap without a word may be all that parts two matches, so three matches and four gaps on either side
-    left = ", ".join(f"right(get({g}, i - {k}), {NEAR})" + (f", right(get({m}, i - {k}), {NEAR})" if k else "") for k in (3, 2, 1, 0))
-    right = ", ".join(f"left(get({g}, i + {k}), {NEAR})" + (f", left(get({m}, i + {k}), {NEAR})" if k < 4 else "") for k in (1, 2, 3, 4))
-    df = df.withColumn(p, F.expr(f"transform({m}, (m, i) -> named_struct('m', m, 'g', {g}[i], 'l', right(concat_ws('', {left}), {NEAR}), 'r', left(concat_ws('', {right}), {NEAR})))"))
-    df = df.withColumn(n, F.expr(f"transform({blocks}, b -> aggregate(slice({p}, b * {RUN} + 1, {RUN}), 0, (a, x) -> a + length(x.g) + length(x.m)))"))
+    df = df.withColumn(n, F.expr(f"transform({blocks}, b -> aggregate(slice({p}, b * {RUN} + 1, {RUN}), 0, (a, x) -> a + x.g + length(x.m)))"))
     df = df.withColumn(at, F.expr(f"transform({n}, (x, b) -> aggregate(slice({n}, 1, b), 0, (a, y) -> a + y))"))
-    step = "named_struct('at', a.at + length(x.g) + length(x.m), 'spans', concat(a.spans, array(named_struct('match', x.m, 'start', a.at + length(x.g), 'end', a.at + length(x.g) + length(x.m), 'before', x.l, 'after', x.r))))"
+    step = "named_struct('at', a.at + x.g + length(x.m), 'spans', concat(a.spans, array(named_struct('match', x.m, 'start', a.at + x.g, 'end', a.at + x.g + length(x.m), 'ctx', x.c))))"
     df = df.withColumn(out, F.expr(f"flatten(transform({at}, (at, b) -> aggregate(slice({p}, b * {RUN} + 1, {RUN}), named_struct('at', at, 'spans', cast(array() as {kind})), (a, x) -> {step}, a -> a.spans)))"))
-    return df.drop(m, g, p, n, at)
-
+    return df.drop(m, g, p, n, at, *((em, eg) if contexts else ()))
 
-def base_spans(df: DataFrame, text: str) -> DataFrame:
-    """Adds a column per kind: array<struct<match, start, end, before, after>> of its valid matches. text must not be null."""
-    for kind in KINDS:
-        df = _placed(df, text, MATCH[kind], HINT[kind], kind)
-        df = df.withColumn(kind, F.expr(f"filter({kind}, x -> {_valid(kind, 'x.match')})"))
-    return df
 
+_JOIN_LEFT, _JOIN_RIGHT = "'< ', array_join(reverse(slice(c.l, 1, n)), ' ')", "'> ', array_join(slice(c.r, 1, n), ' ')"
 
-def _cue(before: str) -> str:
-    """The pattern in front of a place, or '' if none; digits folded, white space single."""
-    return f"lower(trim(regexp_replace(regexp_replace(regexp_extract({before}, r'{CUE}', 0), '[0-9]', '0'), r'\\s+', ' ')))"
 
-
-def _contexts(x: str) -> str:
-    """The patterns around a place: its cue, '< ' and the last one to three words before, '> ' and the first after.
-
-    Digits are folded; a word that the ends of before or after may have cut is none.
-    """
-    words = lambda s: f"regexp_extract_all(regexp_replace(lower({s}), '[0-9]', '0'), r'{WORD}', 0)"
-    parts = f"named_struct('cue', {_cue(f'{x}.before')}, 'l', slice(reverse({words(f'{x}.before')}), 1, size({words(f'{x}.before')}) - int(length({x}.before) = {NEAR} and {x}.before rlike r'{WORD}')), 'r', slice({words(f'{x}.after')}, 1, size({words(f'{x}.after')}) - int(length({x}.after) = {NEAR} and {x}.after rlike r'{WORD}')))"
-    some = lambda side, put: f"transform(filter(array(1, 2, 3), n -> n <= size(c.{side})), n -> concat({put}))"
-    left, right = some("l", "'< ', array_join(reverse(slice(c.l, 1, n)), ' ')"), some("r", "'> ', array_join(slice(c.r, 1, n), ' ')")
-    return f"transform(array({parts}), c -> concat(filter(array(c.cue), q -> q != ''), {left}, {right}))[0]"
+def seed_spans(df: DataFrame, text: str, contexts: bool = False) -> DataFrame:
+    """Adds a column per kind of SEEDS: array<struct<match, start, end, ctx>> of its valid matches. text must not be null."""
+    for kind in SEEDS:
+        df = _placed(df, text, MATCH.get(kind, SECRET), HINT[kind], kind, contexts)
+        df = df.withColumn(kind, F.expr(f"filter({kind}, x -> {_valid(kind, 'x.match')})"))
+    return df
 
 
 def _as_text(spans: str) -> str:
@@ -111,18 +135,20 @@ def _as_text(spans: str) -> str:
 
 def bootstrap(found: DataFrame, free: DataFrame) -> tuple[DataFrame, DataFrame]:
     """found: of scan(); free: of places(). Returns kind, instance: what contexts discovered, and the contexts that did."""
-    seeds = reduce(DataFrame.unionAll, [found.select(F.lit(k).alias("kind"), F.explode(k).alias("x")).select("kind", F.col("x.ctx").alias("ctx"), F.col("x.match").alias("instance")) for k in KINDS])
+    seeds = reduce(DataFrame.unionAll, [found.select(F.lit(k).alias("kind"), F.explode(k).alias("x")).select("kind", F.col("x.ctx").alias("ctx"), F.col("x.match").alias("instance")) for k in SEEDS])
     # a seed is its pattern's instance as well; counts are of distinct instances
     edges = free.select("ctx", "instance").unionAll(seeds.select("ctx", "instance")).select(F.explode("ctx").alias("cue"), "instance")
     edges = written(edges.distinct(), "pii-edges")
     start = known = written(seeds.select("kind", "instance").distinct(), "pii-known")
     totals = edges.groupBy("cue").agg(F.count("*").alias("n"))
     while True:
-        scored = edges.join(known, "instance").groupBy("cue", "kind").agg(F.count("*").alias("f")).join(totals, "cue")
-        good = scored.filter((F.col("f") >= LEAST_KNOWN) & (F.col("f") >= LEAST_SHARE * F.col("n")))
+        scored = edges.join(known, "instance").groupBy("cue", "kind").agg(F.count("*").alias("f"))
         # a pattern stands for the kind most of its known instances have
-        best = written(good.groupBy("cue").agg(F.max(F.struct("f", "kind")).alias("b")).select("cue", F.col("b.kind").alias("kind")), "pii-best")
-        new = written(edges.join(best, "cue").select("kind", "instance").distinct().join(known, ["kind", "instance"], "left_anti"), "pii-new")
+        best = scored.groupBy("cue").agg(F.max(F.struct("f", "kind")).alias("b"), F.sum("f").alias("known")).select("cue", "b.kind", "b.f", "known").join(totals, "cue")
+        good = (F.col("f") >= LEAST_KNOWN) & (F.col("f") >= LEAST_SHARE * F.col("n")) & (F.col("f") >= LEAST_PURITY * F.col("known"))
+        best = written(best.filter(good).select("cue", "kind"), "pii-best")
+        new = edges.join(best, "cue").filter("kind != 'email' or instance like '%@%'").select("kind", "instance").distinct()
+        new = written(new.join(known.select("instance"), "instance", "left_anti").groupBy("instance").agg(F.min("kind").alias("kind")).select("kind", "instance"), "pii-new")
         if new.isEmpty():
             break
         known = written(known.unionAll(new), "pii-known")
@@ -132,20 +158,17 @@ def bootstrap(found: DataFrame, free: DataFrame) -> tuple[DataFrame, DataFrame]:
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Written: rid, id, th (of the text), a column per kind and `tokens`, each with contexts, without the texts."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumns({"rid": F.monotonically_increasing_id(), "th": F.xxhash64("text")})
-    rows = _placed(base_spans(rows, "text"), "text", TOKEN, "[0-9@]", "tokens")
+    rows = _placed(seed_spans(rows, "text", True), "text", TOKEN, "[0-9@]", "tokens", True)
     core = r"regexp_replace(regexp_replace(x.match, r'^[^\p{L}\p{N}+]+', ''), r'[^\p{L}\p{N}]+$', '')"
     lead = r"length(regexp_extract(x.match, r'^[^\p{L}\p{N}+]+', 0))"
-    tokens = f"filter(transform(tokens, x -> named_struct('core', {core}, 'start', x.start + {lead}, 'before', x.before, 'after', x.after)), x -> length(x.core) >= 5 and x.core rlike '[0-9@]')"
-    rows = rows.withColumn("tokens", F.expr(tokens)).withColumn("tokens", F.expr(f"transform(tokens, x -> named_struct('core', x.core, 'start', x.start, 'ctx', {_contexts('x')}))"))
-    for k in KINDS:
-        rows = rows.withColumn(k, F.expr(f"transform({k}, x -> named_struct('match', x.match, 'start', x.start, 'end', x.end, 'ctx', {_contexts('x')}))"))
-    return written(rows.select("rid", "id", "th", *KINDS, "tokens"), "pii-scan")
+    tokens = f"filter(transform(tokens, x -> named_struct('core', {core}, 'start', x.start + {lead}, 'ctx', x.ctx)), x -> length(x.core) >= 5 and x.core rlike '[0-9@]' and not x.core rlike r'{JUDGED}')"
+    return written(rows.withColumn("tokens", F.expr(tokens)).select("rid", "id", "th", *SEEDS, "tokens"), "pii-scan")
 
 
 def places(found: DataFrame) -> DataFrame:
     """Written: rid, id, th, instance, start, end, ctx of the tokens that no base span overlaps."""
     tokens = found.select("rid", "id", "th", F.explode("tokens").alias("x")).select("rid", "id", "th", F.col("x.core").alias("instance"), F.col("x.start").alias("start"), F.expr("x.start + length(x.core)").alias("end"), F.col("x.ctx").alias("ctx"))
-    base = reduce(DataFrame.unionAll, [found.filter(F.size("tokens") > 0).select("rid", F.explode(k).alias("x")).select("rid", F.col("x.start").alias("start"), F.col("x.end").alias("end")) for k in KINDS])
+    base = reduce(DataFrame.unionAll, [found.filter(F.size("tokens") > 0).select("rid", F.explode(k).alias("x")).select("rid", F.col("x.start").alias("start"), F.col("x.end").alias("end")) for k in SEEDS])
     both = tokens.unionByName(base, allowMissingColumns=True)
     # base spans that begin at or before a token, and behind its begin; each a running value
     up, down = (Window.partitionBy("rid").orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in ("start", F.desc("start")))
@@ -165,16 +188,22 @@ def _added(free: DataFrame, learned: DataFrame, contexts: DataFrame | None = Non
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", everywhere: bool = False) -> DataFrame:
-    """One row per row of docs: id, n_<kind>, base_sha256, spans (text), all_spans (structs), n_added.
+    """One row per row of docs: id, n_<kind>, base_sha256, spans (text), all_spans (structs), n_secret, n_added.
 
-    n_<kind> and base_sha256 are of base spans; spans holds these and the added ones, by
-    kind, then start. everywhere: learned instances are placed in plain prose too, not only
-    by a context or cue. Null text counts as empty: no spans; repeated rows and null ids stay;
-    other columns are not read; an empty table gives no rows.
+    n_<kind> and base_sha256 are of base spans; spans holds these, secrets that no base span
+    overlaps (n_secret) and what contexts discovered (n_added), by kind, then start.
+    everywhere: learned instances are placed in plain prose too, not only by a context or
+    cue. Null text counts as empty: no spans; repeated rows and null ids stay; other columns
+    are not read; an empty table gives no rows.
     """
     return _found(docs, id_col, text_col, everywhere).drop("th").withColumnRenamed("id", id_col)
 
 
+def _free_secrets(base: str) -> str:
+    """SQL: secrets that overlap no span of base."""
+    return f"filter(secret, s -> not exists({base}, x -> x.start < s.end and s.start < x.end))"
+
+
 def _found(docs: DataFrame, id_col: str, text_col: str, everywhere: bool) -> DataFrame:
     found = scan(docs, id_col, text_col)
     free = places(found)
@@ -182,10 +211,12 @@ def _found(docs: DataFrame, id_col: str, text_col: str, everywhere: bool) -> Dat
     added = _added(free, learned, None if everywhere else contexts).groupBy("rid").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
     none = "cast(array() as array<struct<kind:string,start:int,end:int>>)"
     out = found.join(added, "rid", "left").withColumn("added", F.expr(f"coalesce(added, {none})"))
+    span = lambda k, of: f"transform({of}, x -> named_struct('kind', '{k}', 'start', x.start, 'end', x.end))"
     for k in KINDS:
-        out = out.withColumn(f"b_{k}", F.expr(f"transform({k}, x -> named_struct('kind', '{k}', 'start', x.start, 'end', x.end))"))
+        out = out.withColumn(f"b_{k}", F.expr(span(k, k)))
     out = out.withColumn("base", F.expr(f"concat({', '.join(f'b_{k}' for k in KINDS)})"))
-    per_kind = ", ".join(f"if(size(added) > 0, array_sort(concat(b_{k}, filter(added, x -> x.kind = '{k}')), (l, r) -> l.start - r.start), b_{k})" for k in KINDS)
+    out = out.withColumn("b_secret", F.expr(span("secret", _free_secrets("base"))))
+    per_kind = ", ".join(f"if(size(added) > 0, array_sort(concat(b_{k}, filter(added, x -> x.kind = '{k}')), (l, r) -> l.start - r.start), b_{k})" for k in SEEDS)
     out = out.withColumn("all_spans", F.expr(f"concat({per_kind})"))
     return out.select(
         "id",
@@ -194,6 +225,7 @@ def _found(docs: DataFrame, id_col: str, text_col: str, everywhere: bool) -> Dat
         F.sha2(F.expr(_as_text("base")), 256).alias("base_sha256"),
         F.expr(_as_text("all_spans")).alias("spans"),
         "all_spans",
+        F.size("b_secret").cast("long").alias("n_secret"),
         F.size("added").cast("long").alias("n_added"),
     )
 
@@ -205,24 +237,26 @@ def masked(text: str, spans: str) -> str:
 
 
 def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """docs with every span, base and added everywhere, replaced by its kind in brackets; chars_col, if there, is counted anew.
+    """docs with every span, base, secret and added everywhere, replaced by its kind in brackets; chars_col, if there, is counted anew.
 
-    Base spans are found again where the text is, so texts are moved only if contexts
-    have discovered anything. Null texts stay null.
+    Seeds are found again where the text is, so texts are moved only if contexts have
+    discovered anything. Null texts stay null; repeated rows are masked alike; other columns
+    are passed on, whatever their names; an empty table gives no rows.
     """
     found = scan(docs, id_col, text_col)
     free = places(found)
     learned, _ = bootstrap(found, free)
-    rows = docs.withColumns({"_text": F.coalesce(F.col(text_col), F.lit("")), "_id": F.col(id_col)})
-    kept = {c: f"_own{i}" for i, c in enumerate(docs.columns)}
-    rows = base_spans(rows.withColumnsRenamed(kept), "_text")
-    rows = rows.withColumn("_spans", F.expr(f"concat({', '.join(f'transform({k}, x -> named_struct(\'kind\', \'{k}\', \'start\', x.start, \'end\', x.end))' for k in KINDS)})")).drop(*KINDS)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = seed_spans(docs.select(row, F.col(id_col).alias("own"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "text")
+    span = lambda k, of: f"transform({of}, x -> named_struct('kind', '{k}', 'start', x.start, 'end', x.end))"
+    rows = rows.withColumn("spans", F.expr(f"concat({', '.join(span(k, k) for k in SEEDS)})")).select("row", "own", "text", "spans")
     if not learned.isEmpty():
         added = _added(free, learned).select("id", "th", F.struct("kind", "start", "end").alias("x")).groupBy("id", "th").agg(F.collect_set("x").alias("added"))
-        on = F.col("_id").eqNullSafe(F.col("id")) & (F.xxhash64("_text") == F.col("th"))
-        rows = rows.hint("merge").join(added, on, "left").withColumn("_spans", F.expr("if(added is null, _spans, concat(_spans, added))"))
-    rows = rows.withColumn("_masked", F.expr(f"if(size(_spans) > 0, {masked('_text', '_spans')}, null)"))
-    new = {text_col: F.coalesce("_masked", kept[text_col])}
-    if chars_col in kept:
-        new[chars_col] = F.when(F.col("_masked").isNull(), F.col(kept[chars_col])).otherwise(F.char_length("_masked")).cast(docs.schema[chars_col].dataType)
-    return rows.select([new.get(c, F.col(kept[c])).alias(c) for c in docs.columns])
+        on = F.col("own").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("th"))
+        rows = rows.hint("merge").join(added, on, "left").withColumn("spans", F.expr("if(added is null, spans, concat(spans, added))"))
+    rows = rows.withColumn("masked", F.expr(f"if(size(spans) > 0, {masked('text', 'spans')}, null)"))
+    own = {c: F.col("row").getField(c) for c in docs.columns}
+    new = {text_col: F.coalesce("masked", own[text_col])}
+    if chars_col in own:
+        new[chars_col] = F.when(F.col("masked").isNull(), own[chars_col]).otherwise(F.char_length("masked")).cast(docs.schema[chars_col].dataType)
+    return rows.select([new.get(c, own[c]).alias(c) for c in docs.columns])

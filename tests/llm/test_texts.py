@@ -172,7 +172,7 @@ def test_language_identification(spark):
         else:
             assert r["lang_pred"] in LANGUAGES
     kept = langid.keep_identified(df)
-    assert kept.columns == df.columns and kept.filter("doc_id in (900, 901, 902)").count() == 0 and kept.count() == len(rows) - 3
+    assert kept.columns == df.columns and kept.filter("doc_id in (900, 901, 902, 903)").count() == 0 and kept.count() == len(rows) - 4  # no learned language uses Han
     assert langid.identify(df.limit(0)).count() == 0
     assert {r["lang_pred"] for r in langid.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     model = langid.train(df)
@@ -180,6 +180,53 @@ def test_language_identification(spark):
     assert [s[2] for s in langid.spans(model, f"{a} {b} {c}")] == ["en", "ru", "de"]
 
 
+def test_marks_are_no_letters_and_mixtures_stay(spark):
+    marks = ["\u0301\u0302", "\u0301 12", "e\u0301\u0301", "\u0301 the of and"]
+    a, b, c = (" ".join((LANGUAGES[k].split() * 4)[:n]) for k, n in (("en", 32), ("de", 28), ("ru", 20)))
+    rows = labelled(120) + [(900 + i, t, None) for i, t in enumerate([*marks, f"{a} {b} {c}"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(df).collect()}
+    assert got[900] == got[901] == ("und", 0.0) and got[902][0] != "und" and got[903] == ("en", 1.0)
+    assert 0.3 < got[904][1] < 0.5
+    assert {r["doc_id"] for r in langid.keep_identified(df).collect()} == {i for i, _, _ in rows} - {900, 901}
+    nothing = df.withColumn("lang", F.lit(None).cast("string"))
+    assert langid.keep_identified(nothing).count() == len(rows) - 2  # all with a letter stay
+
+
+def test_a_long_text_is_scored_in_parts(spark, monkeypatch):
+    model = langid.train(spark.createDataFrame(labelled(120), "doc_id long, text string, lang string"))
+    texts = [t * 40 for _, t, _ in labelled(9)] + ["".join(t + " " for _, t, _ in labelled(40))]
+    want = langid.predict(model, texts)
+    monkeypatch.setattr(langid, "PASS_WORDS", 7)
+    monkeypatch.setattr(langid, "PASS_POINTS", 50)
+    assert langid.predict(model, texts) == want
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    from quillstone.llm import decontam, ngramjoin
+
+    names = ["_th", "_id", "_text", "_own0", "row", "own", "id", "th", "spans", "masked", "email", "tokens", "rid", "stay", "n", "i", "t"]
+    text = "the of and that with from this these there mail me@mail.example.com"
+    rows = [(k, text if k < 3 else f"{LANGUAGES['en']} {k}", "en", *(f"{c}{k}" for c in names)) for k in range(6)] + [(5, f"{LANGUAGES['en']} 5", "en", *(f"{c}5" for c in names))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join(f"`{c}` string" for c in names))
+    bench = spark.createDataFrame([(1, "nothing that any text has in it")], "item_id long, text string")
+    for stage in (langid.keep_identified, ngramjoin.keep_first, lambda d: decontam.keep_clean(d, bench), pii.mask):
+        got = stage(df)
+        assert got.columns == df.columns
+        assert {tuple(r)[3:] for r in got.collect()} <= {r[3:] for r in rows}
+    assert {r["text"] for r in pii.mask(df).filter("doc_id < 3").collect()} == {text.replace("me@mail.example.com", "[EMAIL]")}
+
+
+def test_secrets(spark):
+    key = "0123456789abcdef0123"
+    texts = [f'so token = "{key}" and', f"TOKEN: {key.upper()}!!", f"password={key}", f"{key} alone", "token = short1", "my api_key: 'abcdefghijklmnopqrstuvw'", f'token = "{key}"']
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["spans"], r["n_secret"], r["n_added"]) for r in pii.find(df, everywhere=True).collect()}
+    assert got[0] == ("secret:12:32", 1, 0) and got[1] == ("secret:7:27", 1, 0) and got[2] == ("secret:9:29", 1, 0)
+    assert got[4] == got[5] == ("", 0, 0)
+    assert {r["doc_id"]: r["text"] for r in pii.mask(df).collect()}[0] == 'so token = "[SECRET]" and'
+
+
 RULES_BRUTE = sorted(urlfilter.RULES, key=lambda r: -len(r[1] + r[2]))
 
 
