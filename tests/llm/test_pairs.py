@@ -1,8 +1,11 @@
 import collections
+import hashlib
+import os
 import random
 import unicodedata
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -186,31 +189,107 @@ def brute_repeats(rows, size):
     return out
 
 
-def test_repeats_against_all_windows(spark):
-    import hashlib
+def brute_passages(rows, size):
+    """Words in passages of `size` words that start elsewhere too, and runs of them, of each text."""
+    ws = [words(t or "") for t in rows]
+    seen = collections.Counter(tuple(w[i : i + size]) for w in ws for i in range(len(w) - size + 1))
+    out = []
+    for w in ws:
+        marks = [False] * len(w)
+        for i in range(len(w) - size + 1):
+            if seen[tuple(w[i : i + size])] > 1:
+                marks[i : i + size] = [True] * size
+        # passages that touch are one run, as spans of bytes are
+        out.append((sum(marks), sum(b and not a for a, b in zip([False, *marks], marks))))
+    return out
 
+
+@pytest.mark.parametrize("most", [1024, 3])
+def test_repeats_against_all_windows(spark, most):
     rnd = random.Random(6)
-    for alphabet, size, k in (("ab", 12, 4), ("abcdefgh", 20, 6), ("a", 9, 3)):
+    for alphabet, size, k, passage in (("ab", 12, 4, 3), ("abcdefgh", 20, 6, 2), ("a", 9, 3, 2)):
         base = "".join(rnd.choice(alphabet) for _ in range(300))
         rows = []
         for i in range(40):
             parts = []
             for _ in range(rnd.randrange(0, 6)):
                 a = rnd.randrange(300)
-                parts.append(base[a : a + rnd.randrange(60)] if rnd.random() < 0.5 else "".join(rnd.choice(alphabet + "éz") for _ in range(rnd.randrange(40))))
+                parts.append(base[a : a + rnd.randrange(60)] if rnd.random() < 0.5 else "".join(rnd.choice(alphabet + "éz ") for _ in range(rnd.randrange(40))))
             rows.append((i, "".join(parts)))
         rows += [(90, None), (91, ""), (3, rows[3][1]), (None, rows[4][1])]
         df = spark.createDataFrame([(i, t, 1, "") for i, t in rows], SCHEMA)
-        got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in S.remove_repeats(df, size, k).collect())
+        got = S.remove_repeats(df, size, k, passage, 2, most).collect()
+        got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["n_passage_words"], r["n_passages"]) for r in got)
         texts = [(t or "").encode() for _, t in rows]
         want = []
-        for (i, _), t, m in zip(rows, texts, brute_repeats(texts, size)):
+        for (i, _), t, m, p in zip(rows, texts, brute_repeats(texts, size), brute_passages([t for _, t in rows], passage)):
             runs = sum(b and not a for a, b in zip([False, *m], m))
-            want.append((str(i), len(t), sum(m), runs, hashlib.sha256(bytes(c for c, x in zip(t, m) if not x)).hexdigest()))
+            want.append((str(i), len(t), sum(m), runs, hashlib.sha256(bytes(c for c, x in zip(t, m) if not x)).hexdigest(), *p))
         assert got == sorted(want)
     assert S.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+@pytest.mark.parametrize("most", [1024, 4])
+def test_a_passage_under_one_name(spark, most):
+    """A passage that many texts share, each time between other words: one frequent name."""
+    rnd = random.Random(11)
+    make = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    common, short = make(90), make(52)
+    rows = [(i, f"{make(rnd.randrange(30))} {common if i % 3 else short} {make(rnd.randrange(30))}") for i in range(60)]
+    got = {r["doc_id"]: r for r in S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), most=most).collect()}
+    texts = [t.encode() for _, t in rows]
+    for i, m, p in zip(range(60), brute_repeats(texts, 400), brute_passages([t for _, t in rows], 50)):
+        assert (got[i]["n_removed"], got[i]["n_passage_words"], got[i]["n_passages"]) == (sum(m), *p)
+        assert got[i]["n_removed"] == 0 or i % 3
+        assert p[0] >= 50  # the shorter passage too
+
+
+def test_parts_cover_every_window_once():
+    for size, k, rel, n in ((12, 4, 7, 8), (12, 4, 5, 2), (400, 32, 300, 250), (9, 9, 0, 1)):
+        stretch = bytes(range(256)) * 3
+        for width in S._widths(size, k):
+            got = list(S.parts_of(stretch[: n - 1 + size], n, rel, size, width))
+            assert sorted(j for lo, m, *_ in got for j in range(lo, lo + m)) == list(range(n))
+            for lo, m, _, shared, part in got:
+                assert len(part) == m - 1 + size and all(shared in part[j : j + size] for j in range(m)) and len(shared) == size - width + 1
+        assert S._widths(size, k)[-1] == 1
+
+
+def test_repeats_of_a_table(spark):
+    """All of sf0.1, against a count of every 400-byte window by other hashes."""
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables")
+    df = spark.read.parquet(path)
+    rows = df.select("doc_id", "text").collect()
+    base = np.uint64(6364136223846793005)
+    inverse = np.uint64(pow(int(base), -1, 1 << 64))
+    value = np.random.default_rng(99).integers(1, 1 << 63, 256, np.uint64)
+    texts = [(r["text"] or "").encode() for r in rows]
+    all_hashes = []
+    for t in texts:
+        x = value[np.frombuffer(t, np.uint8)]
+        powers = np.cumprod(np.full(len(x) + 1, base, np.uint64))[: len(x)] * inverse
+        sums = np.r_[np.uint64(0), np.cumsum(x * powers)]
+        back = np.cumprod(np.full(len(x) + 1, inverse, np.uint64)) * base
+        all_hashes.append((sums[400:] - sums[:-400]) * back[: max(0, len(x) - 399)] if len(x) >= 400 else np.zeros(0, np.uint64))
+    flat = np.concatenate(all_hashes)
+    order = np.sort(flat)
+    twice = np.unique(order[1:][order[1:] == order[:-1]])
+    want = {}
+    for r, t, h in zip(rows, texts, all_hashes):
+        marks = np.zeros(len(t) + 1, np.int64)
+        at = np.minimum(np.searchsorted(twice, h), len(twice) - 1)
+        starts = np.flatnonzero(twice[at] == h)
+        marks[starts] += 1
+        marks[starts + 400] -= 1
+        inside = np.cumsum(marks)[: len(t)] > 0
+        kept = np.frombuffer(t, np.uint8)[~inside].tobytes()
+        want[r["doc_id"]] = (len(t), int(inside.sum()), int(np.count_nonzero(np.diff(np.r_[False, inside].astype(np.int8)) == 1)), hashlib.sha256(kept).hexdigest())
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in S.remove_repeats(df).collect()}
+    assert got == want
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text("abc", max_size=40).map(str.encode), max_size=6), st.sampled_from([(6, 2), (8, 3), (5, 5)]))
 def test_every_window_has_one_owner(texts, sizes):
