@@ -103,6 +103,50 @@ def brute_edited(rows):
     return out
 
 
+def brute_print(text):
+    """(level, {hash: first place}) of a fingerprint."""
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    long = lambda x, seed: xxhash.xxh64_intdigest(x.to_bytes(8, "little", signed=True), seed)
+    ws = re.findall("[^\\W_]{1,8}", text.lower())  # the texts of these tests hold no marks
+    pairs = [signed(xxhash.xxh64_intdigest(b.encode(), xxhash.xxh64_intdigest(a.encode(), 42))) for a, b in zip(ws, ws[1:])]
+    anchors = [(i, long(pairs[i + 3], long(pairs[i + 2], long(pairs[i], 42)))) for i in range(len(ws) - 4) if min(pairs[i : i + 4]) in (pairs[i], pairs[i + 3])]
+    if not anchors:
+        anchors = [(i, xxhash.xxh64_intdigest(w.encode(), 42)) for i, w in enumerate(ws)] or [(0, xxhash.xxh64_intdigest(text.encode(), 42))]
+    level, out = (len(anchors) > 256) + (len(anchors) > 1024), {}
+    for i, h in anchors:
+        if (h >> 34) % (1 << level) == 0:
+            out.setdefault(h >> 34, i)
+    return level, out
+
+
+def brute_likeness(x, y):
+    level = max(x[0], y[0])
+    a, b = ({h: i for h, i in p[1].items() if h % (1 << level) == 0} for p in (x, y))
+    shifts = [i - b[h] for h, i in a.items() if h in b]
+    n = len(shifts) if min(len(a), len(b)) == 1 else sum(shifts.count(s) > 1 for s in shifts)
+    return n / (len(a) + len(b) - n) if a or b else float(x == y)
+
+
+def test_likeness_against_brute_force(spark):
+    rng = np.random.default_rng(14)
+    vocabulary = [f"wort{i}" for i in range(500)]
+    base = [rng.choice(vocabulary, n).tolist() for n in (3, 5, 30, 200, 700, 3000, 3000, 12_000)]
+    texts = [" ".join(b) for b in base] + [" ".join(b[: len(b) // 2] + ["new"] + b[len(b) // 3 :]) for b in base] + ["", "!!", " ".join(base[3] * 3), "one", "one two"]
+    order = [(i * 7) % len(texts) for i in range(len(texts))]
+    rows = [(k, texts[i]) for k, i in enumerate(order)] + [(len(texts), texts[5]), (len(texts) + 1, texts[5])]
+    got = {r["doc_id"]: r for r in fingerprint.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {level for level, _ in map(brute_print, texts)} == {0, 1, 2}
+    for i, t, e, nxt in brute_edited(rows):
+        own, edited = brute_print(t), brute_print(e)
+        as_text = lambda p: " ".join([str(p[0]), *(f"{h:08x}{i:x}" for h, i in sorted(p[1].items()))]) if p[1] else f"{p[0]} "
+        assert (got[i]["fingerprint"], got[i]["edited_fingerprint"]) == (as_text(own), as_text(edited))
+        assert abs(got[i]["near_edited"] - brute_likeness(own, edited)) < 1e-12
+        assert abs(got[i]["near_next"] - brute_likeness(own, brute_print(nxt))) < 1e-12
+    assert got[len(texts)]["near_next"] == 1.0
+
+
 def test_fingerprints(spark):
     rng = np.random.default_rng(4)
     vocabulary = [f"wort{i}" for i in range(3000)]
