@@ -37,6 +37,27 @@ def test_state_maps_compose_to_the_librarys_count(text, chunk):
     assert MACHINE.count(text, chunk) == len(ids(text))
 
 
+SMALL = CountTransducer(PATH, 5, 40)  # tables that are full at once
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(texts, st.text("aehnorstÄé中ー한0123 -'", max_size=30), st.text(max_size=20)), st.integers(1, 9))
+def test_the_machine_gives_the_librarys_count(text, chunk):
+    assert SMALL.count(text, chunk) == len(ids(text))
+
+
+def test_the_machine_reads_bytes():
+    """Each arc is compiled once, and the weights of a path add up to the count of each beginning."""
+    machine = CountTransducer(PATH).machine
+    for word in (b" internationalisation", b" aaaaaaaaaaaaaaaaaaaaaaa", "Stra\u00dfe".encode(), b"zqxjkvb" * 3, b"1234567"):
+        for k in range(1, len(word) + 1):
+            assert machine.read(word[:k]) == len(machine.one(word[:k]))
+        before = machine.compiled
+        machine.read(word)
+        assert machine.compiled == before
+    assert len(machine.states) < machine.most and len(SMALL.machine.states) <= 40
+
+
 @settings(max_examples=200, deadline=None)
 @given(texts, texts, texts)
 def test_state_maps_are_a_monoid(a, b, c):
@@ -50,6 +71,8 @@ def test_counts(spark):
     got = sorted((tuple(r) for r in count_tokens(spark.createDataFrame(ROWS, SCHEMA), PATH, limit=100).collect()), key=repr)
     assert got == sorted(((i, len((t or "").encode()), len(ids(t)), len(ids(t)) > 100) for i, t, _ in ROWS), key=repr)
     assert count_tokens(spark.createDataFrame([], SCHEMA), PATH).count() == 0
+    got = sorted((tuple(r) for r in count_tokens(spark.createDataFrame(ROWS, SCHEMA), PATH, limit=100, chunk=7).collect()), key=repr)
+    assert got == sorted(((i, len((t or "").encode()), len(ids(t)), len(ids(t)) > 100) for i, t, _ in ROWS), key=repr)
     model = public_tokenizers.path("piece_bpe_32k.model")
     import sentencepiece
 
