@@ -1,19 +1,20 @@
 """Benchmark decontamination by greedy string tiling.
 
-Every run of MIN_TILE words of a document is looked up among those of the benchmark
-items; documents that share one with an item are tiled against it: running Karp-Rabin
-hashes find common runs of the search length, the longest runs that hold no marked word
-are marked first, and the search length falls until MIN_TILE. The share of an item's
-words under tiles is its coverage, whatever order its parts stand in.
-
-The benchmark is read in blocks of bounded size, each sent to all tasks; documents are
-read once for each block and never shuffled.
+Every run of MIN_TILE words of a document or an item is a seed. Seeds of documents are
+joined with those of the benchmark by Spark, behind a bitmap of bounded size that tells
+most documents apart where they are read: only seeds that may be shared are moved, with
+the words around them. Of each pair of a document and an item that share a seed, the
+item is tiled against the document: running Karp-Rabin hashes find common runs of the
+search length, the longest runs that hold no marked word are marked first, and the search
+length falls until MIN_TILE. The share of an item's words under tiles is its coverage,
+whatever order its parts stand in.
+
+Documents are read once, however large the benchmark, and texts are not moved.
 """
 
 from __future__ import annotations
 
 import heapq
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import flat
-from quillstone.llm.common import id_texts, keep_rows, slices
+from quillstone.llm.common import forget, light, slices, small_batches, written
 
 MIN_TILE, THRESHOLD = 5, 0.5
-#: Code points of benchmark text in a block, at most, but for a single longer item.
-BLOCK_POINTS = 4_000_000
+#: Bits of the bitmap of seeds: 16 a seed, within these bounds (as powers of 2). A fuller one lets more through, nothing is lost.
+LEAST_BITS, MOST_BITS = 16, 27
+#: Rows of the bitmap as they come to the driver: so many bits each, so 128 rows at most.
+BLOCK_BITS = 20
 _BASE, _MASK = 0x100000001B3, (1 << 64) - 1
 
 
@@ -96,90 +99,134 @@ def tiles(item: list[int], text: list[int], min_tile: int = MIN_TILE) -> list[tu
         size = max(min_tile, size // 2)
 
 
-class Index:
-    """Benchmark items of at least min_tile words, and where each run of min_tile words occurs."""
-
-    def __init__(self, items: list[tuple[int, str]], min_tile: int = MIN_TILE):
-        self.min_tile = min_tile
-        w = flat.words_of([t or "" for _, t in items]) if items else None
-        h = flat.hashes(w) if items else np.zeros(0, np.uint64)
-        self.items = [(i, h[w.bounds[k] : w.bounds[k + 1]].tolist()) for k, (i, _) in enumerate(items)] if items else []
-        grams, of = flat.shingles(h, w.bounds, min_tile) if items else (h, h)
-        order = np.argsort(grams, kind="stable")
-        self.grams, self.of = grams[order], np.asarray(of, np.int64)[order]
-        self.bits = np.zeros(1 << 22, bool)
-        self.bits[(grams >> np.uint64(42)).astype(np.int64)] = True
-
-    def hits(self, grams: np.ndarray) -> np.ndarray:
-        may = np.flatnonzero(self.bits[(grams >> np.uint64(42)).astype(np.int64)])
-        if not len(may) or not len(self.grams):
-            return may[:0]
-        at = np.minimum(np.searchsorted(self.grams, grams[may]), len(self.grams) - 1)
-        return may[self.grams[at] == grams[may]]
-
-    def covers(self, words: np.ndarray, hits: np.ndarray, grams: np.ndarray) -> list[tuple[int, float, int]]:
-        """(item id, coverage, tiles) of the items that share a run with the text. hits: places of shared runs."""
-        inside = np.zeros(len(words) + 1, bool)
-        for j in range(self.min_tile):
-            inside[hits + j] = True
-        # only words of shared runs can be in a tile; stretches are kept apart by a word that none has
-        edge = np.flatnonzero(np.diff(np.r_[False, inside].astype(np.int8)))
-        text: list[int] = []
-        for a, b in zip(edge[::2], edge[1::2]):
-            text += [*words[a:b].tolist(), -1 - len(text)]
-        lo, hi = np.searchsorted(self.grams, grams[hits], "left"), np.searchsorted(self.grams, grams[hits], "right")
-        own = sorted({int(k) for a, b in zip(lo, hi) for k in self.of[a:b]})
-        out = []
-        for k in own:
-            item_id, item = self.items[k]
-            got = tiles(item, text, self.min_tile)
-            out.append((item_id, sum(n for _, _, n in got) / len(item), len(got)))
-        return out
-
-
-def _covered(index: Index, texts: list[str]) -> tuple[list[list[int]], list[list[float]]]:
-    """Of each text, the items that share a run with it and their coverage."""
-    items: list[list] = [[] for _ in texts]
-    cover: list[list] = [[] for _ in texts]
-    for lo, hi in slices(texts, 250_000):
-        w = flat.words_of(texts[lo:hi])
-        h = flat.hashes(w)
-        grams, doc = flat.shingles(h, w.bounds, index.min_tile)
-        hits = index.hits(grams)
-        first = np.searchsorted(doc, np.arange(hi - lo))
-        for d in np.unique(doc[hits]).tolist():
-            own = hits[doc[hits] == d]
-            got = index.covers(h[w.bounds[d] : w.bounds[d + 1]], own - first[d], grams[first[d] :])
-            items[lo + d], cover[lo + d] = [i for i, _, _ in got], [c for _, c, _ in got]
-    return items, cover
-
-
-def _scan(docs: DataFrame, index: Index, kind: str) -> DataFrame:
-    def scan(batches):
-        for batch in batches:
-            items, cover = _covered(index, id_texts(batch)[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(items, pa.list_(pa.int64())), pa.array(cover, pa.list_(pa.float64()))], names=["id", "row", "items", "cover"])
-
-    return docs.mapInArrow(scan, f"id {kind}, row long, items array<long>, cover array<double>")
-
-
-def _indexes(benchmark: DataFrame, min_tile: int, item_col: str, item_text: str):
-    """An index of each block of the benchmark."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).filter("i is not null and t is not null")
-    total = items.agg(F.sum(F.char_length("t"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_POINTS))
-    for b in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b) if blocks > 1 else items
-        yield Index(sorted((r["i"], r["t"]) for r in block.toLocalIterator()), min_tile)
-
+def _items(benchmark: DataFrame, min_tile: int, item_col: str, item_text: str) -> DataFrame:
+    """Written: item (unique), id, words (hashes, eight bytes each), seeds, of items of at least min_tile words."""
+
+    def read(batches):
+        for batch in light(batches):
+            rows = []
+            for item, i, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                w = flat.words_of([text])
+                h = flat.hashes(w)
+                if len(h) >= min_tile:
+                    rows.append((item, i, h.tobytes(), np.unique(flat.shingles(h, w.bounds, min_tile)[0]).view(np.int64)))
+            cols = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.list_(pa.int64()))], names=["item", "id", "words", "seeds"])
+
+    rows = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(item_col).cast("long").alias("id"), F.col(item_text).alias("text")).filter("text is not null")
+    return written(rows.mapInArrow(read, "item long, id long, words binary, seeds array<long>"), "tiling-items")
+
+
+def _bitmap(seeds: DataFrame) -> np.ndarray:
+    """Bits of the seeds' leading places; Spark makes blocks of it, the driver gets at most 2 ** MOST_BITS bits."""
+    n = seeds.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
+    place = F.shiftrightunsigned("seed", 64 - bits)
+    block = min(bits, BLOCK_BITS)
+
+    def fill(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in light(batches):
+            at = batch.column(0).to_numpy()
+            for b in np.unique(at >> block).tolist():
+                held.setdefault(b, np.zeros(1 << block, bool))[at[at >> block == b] & ((1 << block) - 1)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array([np.packbits(x).tobytes() for x in held.values()], pa.binary())], names=["block", "bits"])
+
+    out = np.zeros(1 << bits, bool)
+    # a block is made in one task, from distinct places: 2 ** BLOCK_BITS of them at most
+    places = seeds.select(place.alias("at")).distinct().repartition(F.shiftright("at", block))
+    for r in places.mapInArrow(fill, "block long, bits binary").toLocalIterator():
+        out[r["block"] << block : (r["block"] + 1) << block] |= np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
+    return out
+
+
+def _runs(words: np.ndarray, hits: np.ndarray, min_tile: int) -> bytes:
+    """The words of shared seeds; stretches are kept apart by a word that none has."""
+    inside = np.zeros(len(words) + 1, bool)
+    for j in range(min_tile):
+        inside[hits + j] = True
+    edge = np.flatnonzero(np.diff(np.r_[False, inside].astype(np.int8)))
+    out = []
+    for k, (a, b) in enumerate(zip(edge[::2], edge[1::2])):
+        out += [words[a:b], np.array([(1 << 64) - 1 - k], np.uint64)]
+    return np.concatenate(out).tobytes()
+
+
+def _scanned(rows: DataFrame, bitmap: np.ndarray, min_tile: int, kind: str) -> DataFrame:
+    """rows: id, text, th, row. Adds runs and seeds to rows that may share a seed with an item; others have none."""
+    packed, shift = np.packbits(bitmap).tobytes(), np.uint64(64 - (len(bitmap).bit_length() - 1))
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, min_tile: int = MIN_TILE, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of docs that cover no benchmark item up to threshold, columns unchanged."""
-
-    def clean(index):
-        return lambda texts: [max(c, default=0) < threshold for c in _covered(index, texts)[1]]
-
-    return reduce(lambda df, index: keep_rows(df, text_col, clean(index)), _indexes(benchmark, min_tile, item_col, item_text), docs)
+    def scan(batches):
+        bits = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
+        for batch in light(batches):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            runs: list = [None] * len(texts)
+            seeds: list = [None] * len(texts)
+            for lo, hi in slices(texts, 250_000):
+                w = flat.words_of(texts[lo:hi])
+                h = flat.hashes(w)
+                grams, doc = flat.shingles(h, w.bounds, min_tile)
+                hits = np.flatnonzero(bits[(grams >> shift).astype(np.int64)])
+                first = np.searchsorted(doc, np.arange(hi - lo))
+                for d, own in zip(*_split(doc[hits], hits)):
+                    runs[lo + d] = _runs(h[w.bounds[d] : w.bounds[d + 1]], own - first[d], min_tile)
+                    seeds[lo + d] = np.unique(grams[own]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(runs, pa.binary()), pa.array(seeds, pa.list_(pa.int64()))], names=["id", "th", "row", "runs", "seeds"])
+
+    return rows.mapInArrow(scan, f"id {kind}, th long, row long, runs binary, seeds array<long>")
+
+
+def _split(keys: np.ndarray, values: np.ndarray):
+    """Each key of an ascending list and its values."""
+    if not len(keys):
+        return [], []
+    first = np.flatnonzero(np.r_[True, np.diff(keys) != 0])
+    return keys[first].tolist(), np.split(values, first[1:])
+
+
+def _coverage(pairs: DataFrame, min_tile: int) -> DataFrame:
+    """pairs: row, id, runs, words. Returns row, id (of the item), cover."""
+
+    def tile(batches):
+        for batch in light(batches):
+            cover = []
+            for runs, words in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                item = np.frombuffer(words, "<u8").tolist()
+                cover.append(sum(n for *_, n in tiles(item, np.frombuffer(runs, "<u8").tolist(), min_tile)) / len(item))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cover, pa.float64())], names=["row", "id", "cover"])
+
+    return pairs.mapInArrow(tile, "row long, id long, cover double")
+
+
+def _covered(docs: DataFrame, benchmark: DataFrame, min_tile: int, id_col: str, text_col: str, item_col: str, item_text: str) -> tuple[DataFrame, DataFrame]:
+    """Written: every row's id, th (of the text), row (unique); and row, id (of the item), cover of the pairs that share a seed."""
+    small_batches(docs.sparkSession)
+    items = _items(benchmark, min_tile, item_col, item_text)
+    seeds = items.select("item", F.explode("seeds").alias("seed"))
+    bitmap = _bitmap(seeds.select("seed").distinct())
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"), F.monotonically_increasing_id().alias("row"))
+    scanned = written(_scanned(rows, bitmap, min_tile, rows.schema["id"].dataType.simpleString()), "tiling-scan")
+    found = scanned.filter("runs is not null")
+    pairs = found.select("row", F.explode("seeds").alias("seed")).join(seeds, "seed").select("row", "item").distinct()
+    pairs = written(pairs, "tiling-pairs").join(found.select("row", "runs"), "row").join(items.select("item", "id", "words"), "item").select("row", "id", "runs", "words")
+    # tiling is work for the processor, not for memory: pairs are spread over all tasks
+    cover = written(_coverage(pairs.repartition("row", "id"), min_tile), "tiling-cover")
+    forget(items)
+    return scanned.select("id", "th", "row"), cover
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, min_tile: int = MIN_TILE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs that cover no benchmark item up to threshold; columns unchanged, whatever their names.
+
+    Null texts stay; rows that repeat id and text go or stay alike. Texts are moved only if
+    the keys of what goes (id and text's hash) are too many to be broadcast.
+    """
+    rows, cover = _covered(docs, benchmark, min_tile, id_col, text_col, item_col, item_text)
+    bad = written(cover.filter(F.col("cover") >= threshold).select("row").distinct().join(rows, "row").select(F.col("id").alias("i"), F.col("th").alias("t")).distinct(), "tiling-bad")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    own = docs.select(row, F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"))
+    kept = own.join(bad, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")), "left_anti")
+    return kept.select([F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, min_tile: int = MIN_TILE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -187,16 +234,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
 
     item_ids: items whose coverage reaches threshold, ascending; coverage: the greatest of
     any item, 0 if none shares a run of min_tile words. Null texts count as empty; items of
-    fewer than min_tile words or without id are never matched; equal items each count;
-    repeated rows and null ids stay; other columns are not read.
+    fewer than min_tile words are never matched, those without id are told as null; equal
+    items each count; repeated rows and null ids stay; other columns are not read.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
-    kind = rows.schema["id"].dataType.simpleString()
-    found = [_scan(rows, index, kind) for index in _indexes(benchmark, min_tile, item_col, item_text)]
-    if len(found) == 1:
-        all_found = found[0]
-    else:
-        merged = reduce(DataFrame.unionAll, found).groupBy("row", "id")
-        all_found = merged.agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("cover")).alias("cover"))
-    reached = F.expr(f"array_sort(transform(filter(arrays_zip(items, cover), x -> x.cover >= {threshold}), x -> x.items))")
-    return all_found.select(F.col("id").alias(id_col), reached.alias("item_ids"), F.coalesce(F.array_max("cover"), F.lit(0.0)).alias("coverage")).withColumn("contaminated", F.size("item_ids") > 0)
+    rows, cover = _covered(docs, benchmark, min_tile, id_col, text_col, item_col, item_text)
+    reached = F.array_sort(F.collect_list(F.when(F.col("cover") >= threshold, F.struct("id"))))
+    found = cover.groupBy("row").agg(reached.alias("reached"), F.max("cover").alias("coverage"))
+    out = rows.select("id", "row").hint("merge").join(found, "row", "left")
+    ids = F.expr("coalesce(transform(reached, x -> x.id), cast(array() as array<bigint>))")
+    return out.select(F.col("id").alias(id_col), ids.alias("item_ids"), F.coalesce("coverage", F.lit(0.0)).alias("coverage")).withColumn("contaminated", F.size("item_ids") > 0)

@@ -169,7 +169,8 @@ def test_decontamination(spark):
 def test_decontamination_in_blocks(spark, monkeypatch):
     from quillstone.llm import decontam
 
-    monkeypatch.setattr(decontam, "BLOCK_POINTS", 30)
+    monkeypatch.setattr(decontam, "BLOCK_BITS", 3)
+    monkeypatch.setattr(decontam, "LEAST_BITS", 5)
     items = [(i, " ".join(f"t{i}x{j}" for j in range(8))) for i in range(6)]
     docs = spark.createDataFrame([(1, items[0][1] + " and " + items[5][1]), (2, "nothing of it"), (2, "nothing of it")], "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -177,6 +178,15 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert keep_clean(docs, bench).count() == 2
 
 
+def test_decontamination_by_an_item_without_id(spark):
+    text = " ".join(f"t{j}" for j in range(8))
+    docs = spark.createDataFrame([(1, text), (None, text), (3, "nothing of it"), (4, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, text), (2, text)], "item_id long, text string")
+    got = {r["doc_id"]: (r["item_ids"], r["coverage"], r["contaminated"]) for r in decontaminate(docs, bench).collect()}
+    assert got[1] == got[None] == ([None, 2], 1.0, True) and got[3] == got[4] == ([], 0.0, False)
+    assert sorted(r["doc_id"] for r in keep_clean(docs, bench).collect()) == [3, 4]
+
+
 def brute_repeats(rows, size):
     seen = collections.Counter(t[i : i + size] for t in rows for i in range(len(t) - size + 1))
     out = []
