@@ -243,7 +243,7 @@ def _joined(docs: DataFrame, threshold: float, n: int, id_col: str, text_col: st
     # merge joins: what is joined grows with the input, so the plan shall not turn on its size
     firsts = some.select("rid", "bands").hint("merge").join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi")
     # band hashes are salted by band, so one long is the bucket's key
-    banded = written(firsts.select("rid", F.explode("bands").alias("bucket")), "ngram-banded")
+    banded = firsts.select("rid", F.explode("bands").alias("bucket"))
     mixed = F.xxhash64("rid")
     buckets = banded.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(mixed).alias("x"), F.sum(F.shiftright(mixed, 32)).alias("s")).filter("size > 1")
     # of the buckets with the same classes, the least
@@ -261,7 +261,7 @@ def _joined(docs: DataFrame, threshold: float, n: int, id_col: str, text_col: st
     roots = written(components(verified.select(F.col("rid").alias("u"), F.col("root").alias("v")), "ngram-tied"), "ngram-roots")
     tied = links.join(roots.withColumnRenamed("v", "rid"), "rid").select(F.col("rid").alias("rep"), "root", "n_links")
     per_set = written(classes.hint("merge").join(tied, "rep", "left").select("k1", "k2", "n_copies", "copy_of", "f", F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "ngram-sets-tied")
-    forget(banded, kept, sets, verified, classes, roots)
+    forget(kept, sets, verified, classes, roots)
     # written, so that the join can split a root with very many sets
     of_root = written(per_set.groupBy("root").agg(F.min("copy_of").alias("class_id"), F.min("f").alias("f")), "ngram-of-root")
     tied_sets = per_set
