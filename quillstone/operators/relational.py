@@ -7,20 +7,27 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.functions.expr import Expr, col, column, conjuncts, expression_type
+from quillstone.functions.expr import Expr, Lit, col, column, conjuncts, expression_type, simplify
 from quillstone.functions.types import INT64_MAX, INT64_MIN, Type, column_type, schema_of, unique
+from quillstone.plans.statistics import Statistics, in_order, smaller_side
 
 
 def _name(n: str) -> Column:
     return F.col(f"`{n.replace('`', '``')}`")
 
 
-def filter_rows(df: DataFrame, predicate: Expr) -> DataFrame:
-    """Rows for which predicate is true (not NULL); conjuncts that can be are pushed to the scan."""
+def filter_rows(df: DataFrame, predicate: Expr, stats: Statistics | None = None) -> DataFrame:
+    """Rows for which predicate is true (not NULL); conjuncts that can be are pushed to the scan.
+
+    Constants are folded first. stats: of df; conjuncts are then tested from the most
+    selective one on.
+    """
     if expression_type(predicate, schema_of(df)) is not Type.BOOLEAN:
         raise TypeError("a filter takes a boolean")
-    for c in conjuncts(predicate):
-        df = df.filter(column(c, df, conjunct=True))
+    predicate = simplify(predicate)
+    for c in conjuncts(predicate) if stats is None else in_order(predicate, stats):
+        if not (isinstance(c, Lit) and c.value is True):
+            df = df.filter(column(c, df, conjunct=True))
     return df
 
 
@@ -114,12 +121,18 @@ def aggregate(df: DataFrame, keys: list[str], aggregates: list[Aggregate]) -> Da
     return df.groupBy([_name(k) for k in keys]).agg(*cols) if keys else df.agg(*cols)
 
 
-def inner_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], build: str | None = None) -> DataFrame:
+def inner_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], build: str | None = None, rows: tuple[float, float] | None = None) -> DataFrame:
     """Rows with equal keys, columns of left, then right; NULL and NaN keys match nothing.
 
-    build: "left" or "right" asks for a hash join built from that side; None leaves the
-    choice to statistics and the adaptive planner.
+    build: "left" or "right" asks for a hash join built from that side, "smaller" from the
+    side with fewer of `rows` (estimates of either, right if alike); None leaves the choice
+    to statistics and the adaptive planner. A side to build from should fit a task's memory
+    by its share of partitions.
     """
+    if build == "smaller":
+        if rows is None:
+            raise ValueError("the smaller side is told by rows")
+        build = smaller_side(*rows)
     if not left_keys or len(left_keys) != len(right_keys):
         raise ValueError("a join takes as many keys, one at least, of either side")
     unique([*left.columns, *right.columns])
@@ -134,7 +147,7 @@ def inner_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_ke
     elif build == "right":
         right = right.hint("shuffle_hash")
     elif build is not None:
-        raise ValueError("build is left, right or None")
+        raise ValueError("build is left, right, smaller or None")
     on = [_name(a) == _name(b) for a, b in zip(left_keys, right_keys)]
     return left.join(right, on, "inner")
 
@@ -146,18 +159,17 @@ class SortKey:
     nulls_first: bool = False
 
 
-def sort_rows(df: DataFrame, keys: list[SortKey], ordinal: str | None = None) -> DataFrame:
+def sort_rows(df: DataFrame, keys: list[SortKey], ordinal: str | tuple[str, ...] | None = None) -> DataFrame:
     """Sorted by keys; NULLs last unless asked, in either direction; NaN above all numbers.
 
-    ordinal: a column of input positions that orders ties, which makes the sort stable.
+    ordinal: columns of input positions that order ties, which makes the sort stable.
     """
     schema, order = schema_of(df), []
     for k in keys:
         column_type(schema, k.name)
         c = _name(k.name)
         order.append((c.asc_nulls_first() if k.nulls_first else c.asc_nulls_last()) if k.ascending else (c.desc_nulls_first() if k.nulls_first else c.desc_nulls_last()))
-    if ordinal is not None:
-        order.append(_name(ordinal).asc())
+    order += [_name(o).asc() for o in ((ordinal,) if isinstance(ordinal, str) else ordinal or ())]
     return df.orderBy(*order) if order else df
 
 

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from quillstone.functions import Type, col, lit, null_literal
 from quillstone.operators import Aggregate, Named, SortKey, aggregate, filter_rows, inner_join, limit_rows, project, sort_rows
 from quillstone.plans import workloads
-from quillstone.plans.statistics import analyze
-from quillstone.sources import ParquetTable
+from quillstone.plans.options import ExecutionOptions
+from quillstone.plans.statistics import analyze, estimate_selectivity, may_match, merge_all
+from quillstone.sources import MemoryTable, ParquetTable
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -295,9 +296,9 @@ def join_three_way(spark, sf_dir):
 # -- sorts and limits --------------------------------------------------------------------
 
 
-def _sorted(keys: list[SortKey], n: int):
+def _sorted(keys: list[SortKey]):
     def run(spark, sf_dir):
-        return limit_rows(sort_rows(_with_nulls(spark, sf_dir), [*keys, SortKey("l_orderkey"), SortKey("l_linenumber")]), n)
+        return sort_rows(_with_nulls(spark, sf_dir), [*keys, SortKey("l_orderkey"), SortKey("l_linenumber")])
 
     return run
 
@@ -308,8 +309,8 @@ for _n, _keys, _sql in (
     ("sort_nulls_first", [SortKey("ratio", nulls_first=True)], "ratio ASC NULLS FIRST"),
     ("sort_desc_nulls_first", [SortKey("ratio", ascending=False, nulls_first=True)], "ratio DESC NULLS FIRST"),
 ):
-    QUERIES[_n] = _sorted(_keys, 100)
-    ORACLE_SQL[_n] = f"SELECT * FROM {NULLS} ORDER BY {_sql}, l_orderkey, l_linenumber LIMIT 100"
+    QUERIES[_n] = _sorted(_keys)
+    ORACLE_SQL[_n] = f"SELECT * FROM {NULLS} ORDER BY {_sql}, l_orderkey, l_linenumber"
 
 
 @_query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
@@ -326,7 +327,7 @@ def limit_zero(spark, sf_dir):
 def sort_limit_ties(spark, sf_dir):
     """Ties keep the order of the file."""
     rows = _table(spark, sf_dir, "orders").scan_in_order(["o_orderkey", "o_orderstatus"])
-    return limit_rows(sort_rows(rows, [SortKey("o_orderstatus")], ordinal="__position"), 50).select("o_orderkey", "o_orderstatus")
+    return limit_rows(sort_rows(rows, [SortKey("o_orderstatus")], ordinal=ParquetTable.ORDINALS), 50).select("o_orderkey", "o_orderstatus")
 
 
 # -- statistics and workloads ------------------------------------------------------------
@@ -339,6 +340,103 @@ def stats_analyze_lineitem(spark, sf_dir):
     return spark.createDataFrame([(n, c.rows, c.nulls, float(c.min), float(c.max)) for n, c in stats.columns.items()], "name string, n long, nulls long, lo double, hi double")
 
 
+STATISTICS = ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount"]
+BOUNDS = " UNION ALL ".join(f"SELECT '{c}' AS name, count(*) AS n, count(*) - count({c}) AS nulls, min({c})::DOUBLE AS lo, max({c})::DOUBLE AS hi FROM lineitem" for c in STATISTICS)
+
+
+def _bounds(spark, stats) -> DataFrame:
+    return spark.createDataFrame([(n, c.rows, c.nulls, float(c.min), float(c.max)) for n, c in stats.columns.items() if n in STATISTICS], "name string, n long, nulls long, lo double, hi double")
+
+
+@_query(BOUNDS)
+def stats_merge_parts(spark, sf_dir):
+    """Three parts of lineitem, analyzed apart and merged."""
+    df = _table(spark, sf_dir, "lineitem").scan(STATISTICS)
+    return _bounds(spark, merge_all([analyze(df.filter(F.col("l_orderkey") % 3 == k)) for k in range(3)]))
+
+
+@_query(BOUNDS)
+def stats_footers(spark, sf_dir):
+    """Statistics of lineitem from its footers alone."""
+    return _bounds(spark, _table(spark, sf_dir, "lineitem").statistics())
+
+
+@_query("SELECT 'o_orderstatus' AS name, count(DISTINCT o_orderstatus) AS n FROM orders UNION ALL SELECT 'c_nationkey', (SELECT count(DISTINCT c_nationkey) FROM customer) UNION ALL SELECT 'l_linenumber', (SELECT count(DISTINCT l_linenumber) FROM lineitem)")
+def stats_approximate_distinct(spark, sf_dir):
+    """Estimates that a sketch of 1,024 places gives to the nearest whole number for few values."""
+    of = [("orders", "o_orderstatus"), ("customer", "c_nationkey"), ("lineitem", "l_linenumber")]
+    return spark.createDataFrame([(c, round(analyze(_table(spark, sf_dir, t).scan([c])).columns[c].distinct)) for t, c in of], "name string, n long")
+
+
+PREDICATES = {
+    "l_quantity > 1e9": col("l_quantity") > lit(1e9),
+    "l_quantity >= 1": col("l_quantity") >= lit(1.0),
+    "l_partkey < 1": col("l_partkey") < lit(1),
+    "l_discount = 0.05 AND l_partkey < 0": (col("l_discount") == lit(0.05)) & (col("l_partkey") < lit(0)),
+    "l_partkey IS NULL": col("l_partkey").is_null(),
+}
+
+
+@_query(" UNION ALL ".join(f"SELECT '{t}' AS predicate, count(*) > 0 AS may FROM lineitem WHERE {t}" for t in PREDICATES))
+def stats_may_match(spark, sf_dir):
+    stats = analyze(_table(spark, sf_dir, "lineitem").scan(["l_quantity", "l_partkey", "l_discount"]))
+    return spark.createDataFrame([(t, may_match(e, stats)) for t, e in PREDICATES.items()], "predicate string, may boolean")
+
+
+@_query("SELECT 'less' AS name, round((5000.0 - min(o_totalprice)) / (max(o_totalprice) - min(o_totalprice)), 6)::DOUBLE AS share FROM orders UNION ALL SELECT 'both', round((100000.0 - min(o_totalprice)) / (max(o_totalprice) - min(o_totalprice)) * (1 - (50000.0 - min(o_totalprice)) / (max(o_totalprice) - min(o_totalprice))), 6)::DOUBLE FROM orders UNION ALL SELECT 'unknown', 0.5::DOUBLE UNION ALL SELECT 'none', 0.0::DOUBLE")
+def stats_selectivity(spark, sf_dir):
+    stats, price = analyze(_table(spark, sf_dir, "orders").scan(["o_orderkey", "o_totalprice"])), col("o_totalprice")
+    of = {"less": price < lit(5000.0), "both": (price < lit(100000.0)) & (price > lit(50000.0)), "unknown": price + price > lit(7.0), "none": col("o_orderkey").is_null()}
+    return spark.createDataFrame([(n, round(estimate_selectivity(e, stats), 6)) for n, e in of.items()], "name string, share double")
+
+
+@_query(f"SELECT l_orderkey, {DAY.format('l_shipdate')} AS l_shipdate FROM lineitem WHERE l_shipdate >= TIMESTAMP '1994-12-01' AND l_shipdate < TIMESTAMP '1994-12-11' AND l_quantity < 24")
+def filter_days_by_scan(spark, sf_dir):
+    """Day numbers compared in a scan are tested on the stored timestamps."""
+    return _table(spark, sf_dir, "lineitem").scan(["l_orderkey", "l_shipdate"], (col("l_shipdate") >= lit(9100)) & (col("l_shipdate") <= lit(9109)) & (col("l_quantity") < lit(24.0)))
+
+
+@_query("SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice < 50000 AND o_orderstatus = 'F' AND o_custkey > 3")
+def filter_by_selectivity(spark, sf_dir):
+    """Conjuncts tested from the most selective one on."""
+    df = _table(spark, sf_dir, "orders").scan(["o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"])
+    wanted = (col("o_custkey") > lit(3)) & (col("o_totalprice") < lit(50000.0)) & (col("o_orderstatus") == lit("F"))
+    return project(filter_rows(df, wanted, analyze(df)), _named("o_orderkey", "o_custkey"))
+
+
+@_query("SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def join_smaller_side(spark, sf_dir):
+    """The hash table is built from the side whose footers tell of fewer rows."""
+    s, n = _table(spark, sf_dir, "supplier"), _table(spark, sf_dir, "nation")
+    df = inner_join(s.scan(["s_suppkey", "s_nationkey"]), n.scan(["n_nationkey", "n_name"]), ["s_nationkey"], ["n_nationkey"], build="smaller", rows=(s.statistics().rows, n.statistics().rows))
+    return project(df, _named("s_suppkey", "n_name"))
+
+
+@_query("SELECT o_orderkey, c_name FROM orders JOIN (SELECT * FROM customer WHERE c_custkey < 0) ON o_custkey = c_custkey")
+def join_empty_build(spark, sf_dir):
+    none = _table(spark, sf_dir, "customer").scan(["c_custkey", "c_name"], col("c_custkey") < lit(0))
+    return project(inner_join(_table(spark, sf_dir, "orders").scan(["o_orderkey", "o_custkey"]), none, ["o_custkey"], ["c_custkey"], build="right"), _named("o_orderkey", "c_name"))
+
+
+@_query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 7 ORDER BY n_regionkey")
+def memory_table(spark, sf_dir):
+    """A table of three groups in memory, one of which the predicate skips; the sort is stable."""
+    t = MemoryTable(spark, {"n_nationkey": Type.INT64, "n_name": Type.STRING, "n_regionkey": Type.INT64}, "nations")
+    nations = _table(spark, sf_dir, "nation").scan(["n_nationkey", "n_name", "n_regionkey"])
+    for lo, hi in ((0, 5), (5, 10), (10, 1000)):
+        t.append(filter_rows(nations, (col("n_nationkey") >= lit(lo)) & (col("n_nationkey") < lit(hi))))
+    rows = t.scan(predicate=col("n_nationkey") < lit(7), ordinal=True)
+    return project(sort_rows(rows, [SortKey("n_regionkey")], ordinal=MemoryTable.ORDINAL), _named("n_nationkey", "n_name"))
+
+
+@_query("SELECT CAST(l_linenumber AS BIGINT) AS l_linenumber, count(*) AS n FROM lineitem GROUP BY l_linenumber")
+def agg_in_small_batches(spark, sf_dir):
+    """Planned and run with batches of 100 rows."""
+    with ExecutionOptions(100).applied(spark):
+        df = aggregate(_table(spark, sf_dir, "lineitem").scan(["l_linenumber"]), ["l_linenumber"], [Aggregate("n", "count")])
+        return spark.createDataFrame(df.toArrow())  # seven rows
+
+
 @_query(f"SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, count(*) AS count_order FROM lineitem WHERE {DAY.format('l_shipdate')} <= 9300 GROUP BY l_returnflag, l_linestatus")
 def q1(spark, sf_dir):
     out = workloads.q1(workloads.of_days(_raw(spark, sf_dir, "lineitem"), "l_shipdate", "l_shipday", until=9301))

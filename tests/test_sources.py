@@ -3,7 +3,8 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import AnalysisException
 
-from quillstone.functions import Type, col, lit
+from quillstone.functions import Type, binary, col, lit
+from quillstone.functions.expr import FLIPPED
 from quillstone.operators import Aggregate, SortKey, aggregate, filter_rows, sort_rows
 from quillstone.plans.explain import explain, scan_metrics
 from quillstone.sources import MemoryTable, ParquetTable
@@ -73,6 +74,54 @@ def test_file_order(spark, path):
     assert [r[0] for r in got.collect()] == [None, "row3", "row5", "row7", "row9", "row11", "row0", "row2", "row4", "row6", "row8", "row10"]
 
 
+def test_stable_sort_over_files(spark, tmp_path):
+    for n, rows in enumerate(([(2, "a"), (1, "b"), (2, "c")], [(1, "d"), (2, "e"), (1, "f")])):
+        pq.write_table(pa.table({"k": pa.array([k for k, _ in rows], pa.int32()), "v": [v for _, v in rows]}), str(tmp_path / f"{n}.parquet"))
+    t = ParquetTable(spark, str(tmp_path), strict_types=False)
+    rows = t.scan_in_order(["k", "v"])
+    assert dict(rows.dtypes)["k"] == "bigint" == dict(t.scan().dtypes)["k"]
+    assert "".join(r["v"] for r in sort_rows(rows, [SortKey("k")], ordinal=ParquetTable.ORDINALS).collect()) == "bdface"
+    with pytest.raises(ValueError):
+        t.scan_in_order(["none"])
+
+
+def test_footer_statistics(spark, path, tmp_path):
+    t = ParquetTable(spark, path)
+    told = t.statistics().columns["id"].max is not None
+    groups = t.group_statistics()
+    assert [g.rows for g in groups] == [4, 4, 4] and t.statistics().rows == 12
+    if told:
+        x = t.statistics().columns
+        assert (x["id"].min, x["id"].max, x["id"].nulls, x["label"].nulls, x["label"].max) == (0, 7, 4, 1, "row9") and x["value"].has_nan
+        assert t.groups(col("id") < lit(3)) == (1, 2) and t.groups(col("id").is_null()) == (1, 2)
+    else:
+        assert t.groups(col("id") < lit(3)) == (3, 0)
+    assert t.groups(None) == (3, 0)
+
+
+def test_days_reach_the_reader(spark, tmp_path):
+    import datetime
+
+    at, epoch = str(tmp_path / "d.parquet"), datetime.datetime(1970, 1, 1)
+    stamps = [epoch + datetime.timedelta(days=d, hours=h) for d in (9099, 9100, 9105) for h in (0, 23)] + [None]
+    pq.write_table(pa.table({"ts": pa.array(stamps, pa.timestamp("us")), "day": pa.array([s and s.date() for s in stamps], pa.date32())}), at)
+    t = ParquetTable(spark, at, strict_types=False)
+    for c in ("ts", "day"):
+        for op, n in (("<", 2), ("<=", 4), (">", 2), (">=", 4), ("=", 2), ("!=", 4)):
+            for e in (binary(op, col(c), lit(9100)), binary(FLIPPED[op], lit(9100), col(c))):
+                assert t.scan([c], e).count() == n
+        assert f"LessThan({c}" in explain(t.scan([c], col(c) < lit(9100)))
+
+
+def test_memory_table_keeps_frames_and_skips_groups(spark):
+    t = MemoryTable(spark, {"x": Type.INT64})
+    t.append(spark.range(10).withColumnRenamed("id", "y")).append([(100,), (101,)]).append(spark.range(200, 205).toDF("z")).append(spark.range(0).toDF("z"))
+    assert t.rows == 17 and t.statistics().columns["x"].max == 204
+    assert t.scan(["x"], col("x") > lit(100)).count() == 6 and (t.groups_read, t.groups_skipped) == (2, 1)
+    assert [r["x"] for r in sort_rows(t.scan(ordinal=True), [], ordinal=MemoryTable.ORDINAL).collect()] == [*range(10), 100, 101, *range(200, 205)]
+    assert t.scan(["x"], col("x") > lit(1000)).count() == 0 and t.groups_read == 0
+
+
 def test_memory_table(spark):
     t = MemoryTable(spark, {"x": Type.INT64, "s": Type.STRING}, "things")
     assert t.scan().count() == 0

@@ -49,6 +49,14 @@ def test_selectivity(frame):
     assert smaller_side(1, 2) == "left" and smaller_side(2, 2) == "right"
 
 
+def test_selectivity_where_nothing_is_known(frame):
+    s = analyze(frame("x bigint, k bigint, d double", [(i, 5, v) for i, v in enumerate((-1.7e308, 0.0, 1.7e308, None))]))
+    assert estimate_selectivity(col("d").is_null(), s) == 0.5  # whatever the share of NULLs
+    assert estimate_selectivity(col("k") <= lit(5), s) == 0.5  # no width
+    assert estimate_selectivity(col("d") < lit(0.0), s) == 0.375  # a width that no double holds
+    assert estimate_selectivity(col("x").is_null(), s) == 0  # there are none
+
+
 def test_pruning_never_loses_a_row(frame):
     rnd = random.Random(7)
     for trial in range(6):

@@ -4,10 +4,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from quillstone import demo
 from quillstone.functions import col, lit
-from quillstone.operators import Aggregate, aggregate, filter_rows, limit_rows
+from quillstone.operators import Aggregate, SortKey, aggregate, filter_rows, limit_rows, sort_rows
 from quillstone.plans import catalog, workloads
-from quillstone.plans.explain import estimated_rows, explain, output_schema
+from quillstone.plans.explain import estimated_rows, explain, memory_metrics, output_schema
+from quillstone.plans.options import ExecutionOptions
+from quillstone.plans.statistics import analyze
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -68,3 +71,43 @@ def test_introspection(spark):
     assert estimated_rows(aggregate(df, ["o_custkey"], [Aggregate("n", "count")])) == 5
     assert estimated_rows(aggregate(df, [], [Aggregate("n", "count")])) == 1
     assert estimated_rows(limit_rows(df, 3)) == 3
+    # with the table's statistics: uniform values between bounds, distinct values of keys
+    stats = analyze(df)
+    assert estimated_rows(aggregate(df, ["o_custkey"], [Aggregate("n", "count")]), stats=stats) == pytest.approx(2, abs=0.01)
+    few = filter_rows(df, col("o_orderday") < lit(9006))
+    assert estimated_rows(few, stats=stats) == pytest.approx(25 * 6 / 24)
+    assert estimated_rows(aggregate(few, ["o_custkey"], []), stats=stats) == pytest.approx(2, abs=0.01)
+    assert estimated_rows(limit_rows(few, 3), stats=stats) == 3
+    assert estimated_rows(aggregate(aggregate(df, ["o_orderkey"], [Aggregate("n", "count")]), ["n"], []), stats=stats) == pytest.approx(25**0.5, abs=0.1)
+    assert memory_metrics(sort_rows(df, [SortKey("o_custkey")]))["peakMemory"] > 0
+
+
+def test_demo(spark):
+    assert [demo.plan(spark, q, 5000).count() for q in ("q1", "q3", "q6")] == [6, 10, 1]
+    with pytest.raises(ValueError):
+        demo.plan(spark, "q2")
+
+
+def test_options(spark):
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(key)
+    with ExecutionOptions(7).applied(spark):
+        assert spark.conf.get(key) == "7"
+    assert spark.conf.get(key) == before
+    for bad in (0, 65_536):
+        with pytest.raises(ValueError):
+            ExecutionOptions(bad)
+
+
+def test_entry_points_without_the_training_part(monkeypatch):
+    import builtins
+
+    real = builtins.__import__
+
+    def fail(name, *a, **kw):
+        if name.startswith(("quillstone.llm", "corpus_pipeline", "public_tokenizers")):
+            raise ImportError(name)
+        return real(name, *a, **kw)
+
+    monkeypatch.setattr(builtins, "__import__", fail)
+    assert set(entry_points.queries()) == set(catalog.QUERIES) and set(entry_points.oracle_sql()) == set(catalog.ORACLE_SQL)
