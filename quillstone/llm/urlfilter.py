@@ -1,20 +1,26 @@
-"""URL filters: exact rules first, gradient-boosted trees on lexical features for the rest."""
+"""URL filters: exact rules first, gradient-boosted trees on lexical features for the rest.
+
+Lengths, depth, counts, ratios and the statistics of host suffixes and first path sections
+are columns that Spark computes; the statistics are counted over all distinct labelled
+urls and joined to the rows. Entropies and trees run in numpy, a batch at a time.
+"""
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.llm.common import light, small_batches
+
 #: (verdict, host, path) of the rules.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "host_digit_ratio", "hyphens", "entropy", "host_entropy", "parameters", "query_length", "longest_word", "has_fragment", "has_extension", "suffix_rate", "suffix_share", "section_rate", "section_share")
+#: The weight of the base rate in a suffix's or section's own rate, in urls.
+PRIOR = 5
+FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "host_digit_ratio", "hyphens", "parameters", "query_length", "longest_word", "has_fragment", "has_extension", "suffix_rate", "suffix_share", "section_rate", "section_share", "entropy", "host_entropy")
 
 
 def parts(df: DataFrame, url_col: str) -> DataFrame:
@@ -35,49 +41,73 @@ def with_rule(df: DataFrame, rules=RULES) -> DataFrame:
     return df.withColumns({"rule": rule, "rule_verdict": verdict})
 
 
-def _entropy(s: str) -> float:
-    return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values()) if s else 0.0
-
-
-def _suffix(host: str) -> str:
-    return ".".join(host.split(".")[-2:])
-
-
-def _section(path: str) -> str:
-    return path.split("/")[1] if path.count("/") > 1 else ""
+_LEXICAL = {
+    "length": "length(url)",
+    "host_length": "length(host)",
+    "path_length": "length(path)",
+    "depth": "length(path) - length(replace(path, '/', ''))",
+    "labels": "length(host) - length(replace(host, '.', '')) + 1",
+    "digit_ratio": "length(regexp_replace(url, '[^0-9]', '')) / greatest(1, length(url))",
+    "host_digit_ratio": "length(regexp_replace(host, '[^0-9]', '')) / greatest(1, length(host))",
+    "hyphens": "length(url) - length(replace(url, '-', ''))",
+    "parameters": "length(query) - length(replace(query, '=', ''))",
+    "query_length": "length(query)",
+    "longest_word": r"coalesce(array_max(transform(split(url, '[^\\p{L}\\p{N}_]+'), w -> length(w))), 0)",
+    "has_fragment": "if(locate('#', url) > 0, 1, 0)",
+    "has_extension": r"if(path rlike r'\.\w{2,5}$', 1, 0)",
+}
+
+
+def lexical(df: DataFrame) -> DataFrame:
+    """df: url (null as empty), host, path. Adds the features that need no statistics, suffix and section."""
+    query = r"regexp_extract(url, r'(?s)^[^?]*+\?([^#]*+)', 1)"
+    df = df.withColumn("query", F.expr(query))
+    df = df.withColumns({f: F.expr(e).cast("double") for f, e in _LEXICAL.items()}).drop("query")
+    section = "if(length(path) - length(replace(path, '/', '')) > 1, split(path, '/')[1], '')"
+    return df.withColumns({"suffix": F.substring_index("host", ".", -2), "section": F.expr(section)})
 
 
 @dataclass
 class Statistics:
-    """Of host suffixes and first path sections in the labelled urls: (urls, blocked)."""
+    """Of distinct labelled urls: their number, the share blocked, and tables of key, n, blocked of suffixes and sections."""
 
-    base: float
     total: int
-    suffix: dict = field(default_factory=dict)
-    section: dict = field(default_factory=dict)
-
-    def row(self, url: str, host: str, path: str, own: float | None = None) -> list[float]:
-        """own: the url's label while training, taken out of its own statistics."""
-        query = url.partition("?")[2].partition("#")[0]
-        out = [
-            len(url), len(host), len(path), path.count("/"), host.count(".") + 1, sum(c.isdigit() for c in url) / max(1, len(url)), sum(c.isdigit() for c in host) / max(1, len(host)),
-            url.count("-"), _entropy(url), _entropy(host), query.count("=") if query else 0, len(query), max(map(len, re.split(r"\W+", url))), "#" in url, bool(re.search(r"\.\w{2,5}$", path)),
-        ]
-        for seen, key in ((self.suffix, _suffix(host)), (self.section, _section(path))):
-            n, blocked = seen.get(key, (0, 0))
+    base: float
+    tables: dict[str, DataFrame]
+
+    def joined(self, df: DataFrame, own: str | None = None) -> DataFrame:
+        """Adds rate and share of each row's suffix and section. own: the row's label, which is taken out of its own statistics."""
+        for key, table in self.tables.items():
+            df = df.join(table.withColumnsRenamed({"n": "k_n", "blocked": "k_blocked"}), key, "left").withColumns({"k_n": F.coalesce("k_n", F.lit(0)), "k_blocked": F.coalesce("k_blocked", F.lit(0))})
             if own is not None:
-                n, blocked = n - 1, blocked - own
-            out += [(blocked + 5 * self.base) / (n + 5), n / max(1, self.total)]
-        return [float(x) for x in out]
+                df = df.withColumns({"k_n": F.col("k_n") - 1, "k_blocked": F.col("k_blocked") - F.col(own).cast("int")})
+            rate = (F.col("k_blocked") + PRIOR * self.base) / (F.col("k_n") + PRIOR)
+            df = df.withColumns({f"{key}_rate": rate.cast("double"), f"{key}_share": (F.col("k_n") / max(1, self.total)).cast("double")}).drop("k_n", "k_blocked")
+        return df
+
 
+def statistics(labelled: DataFrame) -> Statistics:
+    """labelled: distinct, with suffix, section, blocked. Counts all of them."""
+    total, base = labelled.agg(F.count("*"), F.avg(F.col("blocked").cast("int"))).first()
+    counted = lambda key: labelled.groupBy(key).agg(F.count("*").alias("n"), F.count_if("blocked").alias("blocked"))
+    return Statistics(total, base or 0.0, {key: counted(key) for key in ("suffix", "section")})
 
-def statistics(rows: list[tuple[str, str, str, float]]) -> Statistics:
-    s = Statistics(sum(r[3] for r in rows) / max(1, len(rows)), len(rows))
-    for _, host, path, y in rows:
-        for seen, key in ((s.suffix, _suffix(host)), (s.section, _section(path))):
-            n, b = seen.get(key, (0, 0))
-            seen[key] = (n + 1, b + y)
-    return s
+
+def entropies(texts: list[str]) -> np.ndarray:
+    """Bits per character of each text; 0 for an empty one."""
+    n = np.array([len(t) for t in texts])
+    if not n.sum():
+        return np.zeros(len(texts))
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    key, count = np.unique(np.repeat(np.arange(len(texts)), n) << 21 | points, return_counts=True)
+    of = key >> 21
+    share = count / n[of]
+    return np.bincount(of, -share * np.log2(share), len(texts))
+
+
+def vectors(columns: list[np.ndarray], urls: list[str], hosts: list[str]) -> np.ndarray:
+    """Rows of FEATURES; columns: all but the entropies."""
+    return np.stack([*columns, entropies(urls), entropies(hosts)], 1)
 
 
 @dataclass
@@ -136,16 +166,21 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate:
     return model
 
 
+_COLUMNS = FEATURES[:-2]
+
+
 def train(labelled: DataFrame, most_rows: int = 20_000) -> tuple[Statistics, Trees] | None:
-    """labelled: url, host, path, blocked. Learns from about most_rows urls at most, chosen by hash; None without both labels."""
-    n = labelled.count()
-    few = labelled if n <= most_rows else labelled.filter(F.pmod(F.xxhash64("url", F.lit(7)), F.lit(1_000_000)) < 1_000_000 * most_rows // n)
-    # equal urls have one hash and would come together: one of each is enough
-    rows = sorted((r["url"] or "", r["host"], r["path"], float(r["blocked"])) for r in few.distinct().limit(2 * most_rows).toLocalIterator())
-    if len({r[3] for r in rows}) < 2:
-        return None
+    """labelled: url, host, path, blocked. Statistics are of all distinct urls; trees learn from about most_rows of them at most, chosen by hash; None without both labels."""
+    rows = lexical(labelled.select(F.coalesce("url", F.lit("")).alias("url"), "host", "path", "blocked").distinct())
     s = statistics(rows)
-    return s, boost(np.array([s.row(*r) for r in rows]), np.array([r[3] for r in rows]))
+    few = rows if s.total <= most_rows else rows.filter(F.pmod(F.xxhash64("url", F.lit(7)), F.lit(1_000_000)) < 1_000_000 * most_rows // s.total)
+    few = s.joined(few, own="blocked").select("url", "host", "blocked", *_COLUMNS)
+    # distinct urls have hashes of their own, so that no more than about most_rows come
+    got = sorted(tuple(r) for r in few.toLocalIterator())
+    if len({r[2] for r in got}) < 2:
+        return None
+    x = vectors([np.array([r[3 + j] for r in got]) for j in range(len(_COLUMNS))], [r[0] for r in got], [r[1] for r in got])
+    return s, boost(x, np.array([float(r[2]) for r in got]))
 
 
 def judge(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -157,24 +192,26 @@ def judge(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, id_c
     empty; if nothing can be learned, allow with score 0. Repeated rows stay; equal urls
     are judged alike; other columns are not read.
     """
+    small_batches(pages.sparkSession)
     rows = with_rule(parts(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")), "url"), rules)
     if labelled is None:
         known = rows.filter("rule is not null").select("url", "host", "path", (F.col("rule_verdict") == "block").alias("blocked"))
     else:
         known = parts(labelled.select("url", "blocked"), "url").filter("blocked is not null")
     model = train(known)
+    own = ["id", "host", "path", "rule", "rule_verdict"]
+    if model is None:
+        scored = rows.select(*own, F.lit(0.0).alias("score"))
+    else:
+        stats, trees = model
+        kind = rows.schema["id"].dataType.simpleString()
 
-    def score(batches):
-        for batch in batches:
-            urls, hosts, paths = (batch.column(i).to_pylist() for i in (1, 2, 3))
-            if model and len(urls):
-                s, trees = model
-                got = trees.score(np.array([s.row(u or "", h, p) for u, h, p in zip(urls, hosts, paths)]))
-            else:
-                got = np.zeros(len(urls))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got)], names=[*batch.schema.names, "score"])
+        def score(batches):
+            for batch in light(batches):
+                x = vectors([batch.column(len(own) + 1 + j).to_numpy() for j in range(len(_COLUMNS))], batch.column(len(own)).to_pylist(), batch.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pa.array(trees.score(x))], names=[*own, "score"])
 
-    kind = rows.schema["id"].dataType.simpleString()
-    scored = rows.mapInArrow(score, f"id {kind}, url string, host string, path string, rule string, rule_verdict string, score double")
+        full = stats.joined(lexical(rows.withColumn("url", F.coalesce("url", F.lit("")))))
+        scored = full.select(*own, "url", *_COLUMNS).mapInArrow(score, f"id {kind}, host string, path string, rule string, rule_verdict string, score double")
     verdict = F.coalesce("rule_verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
     return scored.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "score")

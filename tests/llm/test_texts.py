@@ -300,6 +300,87 @@ def test_urls(spark):
     assert urlfilter.judge(df.limit(0)).count() == 0
 
 
+def test_url_features_against_brute_force(spark):
+    import collections
+    import math
+
+    urls = ["http://a.b.example.com/x-1/y_2/z.html?a=1&b=2#f", "https://Ex-12.org?q=/x", "://", "http://h/ö/é?=#=", "http://h.de/a?b?c=1#d?e=2", "x" * 300, ""]
+    df = urlfilter.lexical(urlfilter.parts(spark.createDataFrame([(u,) for u in urls], "url string"), "url"))
+    entropy = lambda s: -sum(n / len(s) * math.log2(n / len(s)) for n in collections.Counter(s).values()) if s else 0.0
+    for r in df.collect():
+        u, h, p = r["url"], r["host"], r["path"]
+        query = u.partition("?")[2].partition("#")[0] if "?" in u.partition("#")[0] or "?" in u else ""
+        share = lambda s: sum(c in "0123456789" for c in s) / max(1, len(s))
+        want = [len(u), len(h), len(p), p.count("/"), h.count(".") + 1, share(u), share(h), u.count("-"), query.count("="), len(query), max(map(len, re.split(r"\W+", u))), "#" in u, bool(re.search(r"\.\w{2,5}$", p))]
+        assert [r[f] for f in urlfilter._LEXICAL] == [float(x) for x in want], u
+        assert (r["suffix"], r["section"]) == (".".join(h.split(".")[-2:]), p.split("/")[1] if p.count("/") > 1 else "")
+    assert np.allclose(urlfilter.entropies(urls), [entropy(u) for u in urls]) and np.allclose(urlfilter.entropies(["", ""]), 0)
+
+
+def test_url_scores_against_brute_force(spark):
+    """Statistics of all labelled urls and the trees' sums, each step anew in plain Python."""
+    urls = [f"http://h{i % 9}.{('ex', 'am')[i % 2]}.com/{('fr', 'de', 'en', 'x')[i % 4]}/{i}-{'a' * (i % 11)}" for i in range(200)]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(500, urls[0])], "page_id long, url string")
+    known = urlfilter.with_rule(urlfilter.parts(df, "url")).filter("rule is not null").select("url", "host", "path", (F.col("rule_verdict") == "block").alias("blocked"))
+    stats, trees = urlfilter.train(known)
+    label = {u: v == "block" for u in urls for *_, v in [brute_url(u)] if v}
+    assert stats.total == len(label) and abs(stats.base - np.mean(list(label.values()))) < 1e-12
+    rows = {r["url"]: r for r in urlfilter.lexical(urlfilter.parts(df.select("url").distinct(), "url")).collect()}
+
+    def vector(u):
+        out = [rows[u][f] for f in urlfilter._LEXICAL]
+        for key in ("suffix", "section"):
+            own = [y for v, y in label.items() if rows[v][key] == rows[u][key]]
+            out += [(sum(own) + 5 * stats.base) / (len(own) + 5), len(own) / len(label)]
+        return [*out, *urlfilter.entropies([u, rows[u]["host"]])]
+
+    for r in urlfilter.judge(df).collect():
+        x, raw = vector(urls[r["page_id"]] if r["page_id"] < 500 else urls[0]), trees.start
+        for tree in trees.trees:
+            at = 0
+            while tree[at][0] >= 0:
+                f, cut, _ = tree[at]
+                at = 2 * at + 1 + (sum(c < x[f] for c in trees.cuts[f]) > cut)
+            raw += trees.rate * tree[at][2]
+        assert abs(r["score"] - 1 / (1 + np.exp(-raw))) < 1e-9
+
+
+def test_language_scores_against_brute_force(spark):
+    """Counts, script narrowing, word scores and the share of letters, each anew in plain Python."""
+    rows = labelled(90)
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    names = sorted(LANGUAGES)
+    mask = (1 << 64) - 1
+
+    def grams(word):
+        p = [32, *map(ord, word), 32]
+        two = [(a * 0x1F123BB5 + b) & mask for a, b in zip(p, p[1:])]
+        three = [((t * 0x1F123BB5 + c) * 0x9E3779B97F4A7C15) & mask for t, c in zip(two, p[2:])]
+        return [t * 0xC2B2AE3D27D4EB4F % (1 << 64) >> 49 for t in two] + [t >> 49 for t in three]
+
+    counts = {n: np.full(langid.BUCKETS, 0.5) for n in names}
+    for _, t, lang in rows:
+        for w in t.split():
+            for g in grams(w):
+                counts[lang][g] += 1
+    logp = np.log(np.stack([counts[n] / counts[n].sum() for n in names], 1))
+    logp -= logp.max(1, keepdims=True)
+    cyrillic = lambda w: "\u0400" <= w[0] < "\u0530"
+    text = "the der не and что unbekannt wort with über xyzzy это die"
+    want = []
+    for w in text.split():
+        v = sum(logp[g] for g in grams(w))
+        v = np.array([x if (n == "ru") == cyrillic(w) else -1e4 for n, x in zip(names, v)])
+        want.append(np.maximum(v - v.max(), langid.FLOOR))
+    assert model.languages == names
+    assert np.allclose(model.scores(langid._words([text])), want, atol=1e-3)
+    value = lambda path: sum(s[p] for s, p in zip(want, path)) - langid.SWITCH * sum(a != b for a, b in zip(path, path[1:]))
+    best = max(itertools.product(range(3), repeat=len(want)), key=value)
+    letters = [sum(len(w) for w, p in zip(text.split(), best) if p == k) for k in range(3)]
+    (lang,), (score,), _ = langid.predict(model, [text])
+    assert lang == names[int(np.argmax(letters))] and abs(score - max(letters) / sum(letters)) < 1e-9
+
+
 def test_trees_learn(spark):
     rng = np.random.default_rng(2)
     make = lambda bad: "http://" + "".join(rng.choice(list("abcxyz"), 8)) + (f"{rng.integers(10**6)}.info/" if bad else ".net/") + "/".join("p" * rng.integers(1, 9) for _ in range(rng.integers(1, 4))) + (f"?a={rng.integers(99)}&b={rng.integers(99)}" if bad else "")
