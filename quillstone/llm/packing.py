@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from quillstone.llm import bpe
 from quillstone.llm.common import forget, id_texts, light, partitions, row_ids, small_batches, written
 
-BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4096, 3, 2, 6, 4
+#: An epoch ends after GENERATIONS children, or at once where a packing has as few sequences as the tokens need.
+BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4096, 3, 2, 100, 12
 #: A sequence filled to this share is never taken apart by pooling.
 WELL_FILLED = 0.97
 
@@ -128,7 +129,7 @@ def evolve(sizes: np.ndarray, start: list[np.ndarray], seed: int, capacity: int)
     people = list(start)
     for k in range(POPULATION - len(people)):
         # decreasing sizes; all but the first individual with a little disorder
-        noise = np.random.default_rng(rnd.getrandbits(32)).random(len(sizes)) * (0 if k + len(start) == 0 else 4 ** (k + 1))
+        noise = np.random.default_rng(rnd.getrandbits(32)).random(len(sizes)) * (0 if k + len(start) == 0 else 4 ** (k % 5 + 1))
         people.append(best_fit(np.empty(len(sizes), np.int64), np.argsort(-(sizes + noise), kind="stable").tolist(), size_list, [], capacity))
     scored = sorted(((fitness(p, sizes, capacity), n, p) for n, p in enumerate(people)), reverse=True)
     for g in range(GENERATIONS):
@@ -171,7 +172,8 @@ def pack_items(items: DataFrame, capacity: int, block: int = BLOCK, islands: int
     )
     sizes = F.expr("transform(rows, r -> r.length)").alias("sizes")
     isles = F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island")
-    n = max(partitions(spark), 8)
+    # the search is work for the processor, whatever the bytes
+    n = max(partitions(spark), min(n_blocks * islands // 4, 100_000))
     elites = _epoch(blocks.select("block", isles, sizes, F.expr("array()").cast("array<binary>").alias("packings")).repartition(n, "block", "island"), capacity, 0)
     for epoch in range(1, epochs):
         elites = written(elites, "pack-elites")

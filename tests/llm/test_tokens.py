@@ -155,3 +155,16 @@ def test_crossover_keeps_every_item_once():
         a, b = b, child
     best = evolve(sizes, [], 3, 100)
     assert fitness(best, sizes, 100) >= fitness(best_fit(np.empty(300, np.int64), np.argsort(-sizes, kind="stable").tolist(), size_list, [], 100), sizes, 100)
+
+
+def test_the_search_beats_best_fit():
+    """Triples that fill a sequence exactly, and sizes between a seventh and a half of it."""
+    rng = np.random.default_rng(5)
+    a = rng.integers(380, 490, 60)
+    b = np.array([rng.integers(250, (1000 - x) // 2 + 1) for x in a])
+    for sizes, capacity, at_least in ((np.concatenate([a, b, 1000 - a - b]), 1000, 3), (rng.integers(300, 1100, 2000), 2048, 2)):
+        n = len(sizes)
+        best_fit_alone = best_fit(np.empty(n, np.int64), np.argsort(-sizes, kind="stable").tolist(), sizes.tolist(), [], capacity).max() + 1
+        found = evolve(sizes, [], 7, capacity)
+        assert np.bincount(found, weights=sizes).max() <= capacity and len(found) == n
+        assert found.max() + 1 <= best_fit_alone - at_least
