@@ -49,6 +49,63 @@ def test_stages_against_what_was_planted(spark, folder):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, at).select("doc_id").collect()} == clean
 
 
+def masked(text):
+    """Base spans and secrets as [KIND], of texts whose spans do not overlap."""
+    from test_texts import base_spans
+
+    spans = [(int(a), int(b), k) for k, a, b in (x.split(":") for x in base_spans(text).split(",") if x)]
+    spans += [(m.start(1), m.end(1), "secret") for m in re.finditer(r'token = "([A-Za-z0-9+/_-]{16,})"', text)]
+    for a, b, kind in sorted(spans, reverse=True):
+        text = f"{text[:a]}[{kind.upper()}]{text[b:]}"
+    return text
+
+
+def test_each_stage_against_brute_force(spark, tmp_path):
+    from test_pairs import brute_coverage, brute_join
+    from test_tokens import check_packing
+
+    rnd = random.Random(12)
+    voc = [f"the{i}" for i in range(150)]
+    make = lambda n: [rnd.choice(voc) for _ in range(n)]
+    items = [(k, " ".join(make(rnd.randrange(8, 30)))) for k in range(6)]
+    private = ["a.b@mail.example.com", "10.20.30.40", "4111 1111 1111 1111", "+1 (555) 010-9999", 'token = "0123456789abcdef0123"']
+    rows, i = [], 0
+    for _ in range(30):
+        base = make(rnd.randrange(5, 120))
+        for _ in range(rnd.randrange(1, 5)):
+            ws = list(base)
+            for _ in range(rnd.randrange(0, 5)):
+                ws[rnd.randrange(len(ws))] = rnd.choice(voc)
+            if rnd.random() < 0.2:
+                ws += ["and", rnd.choice(private), "so"]
+            if rnd.random() < 0.2:
+                own = rnd.choice(items)[1].split()
+                cut = rnd.randrange(len(own))
+                ws = own[cut:] + ws + own[:cut]
+            rows.append((i, " ".join(ws)))
+            i += 1
+    rows += [(i, None), (i + 1, ""), (i + 2, "123 !!"), (i + 3, "\u0301 1"), (i + 4, "ありがとう ございます"), (i + 5, rows[3][1])]
+    at = str(tmp_path)
+    spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], SCHEMA).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    want = {k: t for k, t in rows if t is not None and any("a" <= c <= "z" for c in t)}
+    got = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, at), name)
+        got.append({r["doc_id"]: r["text"] for r in docs.collect()})
+    assert got[0] == want
+    least = {c for c, *_ in brute_join(list(want.items())).values()}
+    want = {k: t for k, t in want.items() if k in least}
+    assert got[1] == want
+    want = {k: t for k, t in want.items() if max(brute_coverage(items, t).values()) < 0.5}
+    assert got[2] == want and len(got[2]) < len(got[1])
+    want = {k: masked(t) for k, t in want.items()}
+    assert got[3] == want and got[3] != got[2]
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, at).collect()
+    check_packing(pieces, [(k, t, None) for k, t in want.items()], 2048)
+
+
 def test_stages_take_empty_tables(spark, folder):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
