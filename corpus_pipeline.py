@@ -11,7 +11,7 @@ from quillstone.llm.queries import TOKENIZER
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or without a language that leads in them, go."""
+    """Documents without letters, or mostly of scripts that no learned language uses, go."""
     return langid.keep_identified(docs)
 
 
@@ -26,7 +26,7 @@ def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data are replaced by their kind in brackets."""
+    """Personal data and secrets are replaced by their kind in brackets."""
     return pii.mask(docs)
 
 
@@ -43,7 +43,7 @@ STAGES = [
     ("best_fit_packing", pack_sequences),
 ]
 
-#: Trained models, tiling and packing are not SQL; the tests hold each stage against brute force.
+#: Trained models, tiling and packing are not SQL; tests/llm/test_pipeline.py holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 
