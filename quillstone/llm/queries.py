@@ -108,3 +108,24 @@ SELECT s.doc_id, coalesce(k.root, s.doc_id) AS class_id, coalesce(c.rep, s.doc_i
     coalesce(l.n, 0) AS n_links, coalesce(c.n_copies, 1) AS n_copies, s.doc_id = coalesce(k.root, s.doc_id) AS is_first
 FROM s LEFT JOIN c ON s.g = c.g LEFT JOIN k ON k.v = c.rep LEFT JOIN l ON l.a = c.rep
 """
+
+
+def _islands(windows: str, size: int) -> str:
+    """Maximal covered runs [a, z) of the windows (r, i, x) of which another has the same x, numbered by k in each r."""
+    return f"""(SELECT r, k, min(i) AS a, max(i) + {size} AS z FROM (
+        SELECT r, i, sum(CASE WHEN i <= p + {size} THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS k FROM (
+            SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM {windows} SEMI JOIN (SELECT x FROM {windows} GROUP BY x HAVING count(*) > 1) USING (x)))
+    GROUP BY r, k)"""
+
+
+ORACLE_SQL[op4_suffix_array_dedup.__name__] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{M}}\p{{N}}]+') AS ws FROM documents),
+w AS MATERIALIZED (SELECT r, i, hash(b[i:i + 399]) AS x FROM (SELECT r, b, unnest(range(1, octet_length(b) - 398)) AS i FROM d)),
+v AS MATERIALIZED (SELECT r, i, hash(ws[i:i + 49]) AS x FROM (SELECT r, ws, unnest(range(1, len(ws) - 48)) AS i FROM d)),
+s AS (SELECT r, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z, CAST(sum(z - a) AS BIGINT) AS n, count(*) AS k FROM {_islands("w", 400)} GROUP BY r),
+p AS (SELECT r, CAST(sum(z - a) AS BIGINT) AS n, count(*) AS k FROM {_islands("v", 50)} GROUP BY r)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(s.n, 0) AS n_removed, coalesce(s.k, 0) AS n_spans,
+    CASE WHEN s.r IS NULL THEN sha256(b) ELSE sha256(unhex(array_to_string(list_transform(range(0, s.k + 1), lambda j: hex(b[CASE WHEN j = 0 THEN 1 ELSE s.z[j] END:CASE WHEN j = s.k THEN octet_length(b) ELSE s.a[j + 1] - 1 END])), ''))) END AS kept_sha256,
+    coalesce(p.n, 0) AS n_passage_words, coalesce(p.k, 0) AS n_passages
+FROM d LEFT JOIN s ON s.r = d.r LEFT JOIN p ON p.r = d.r
+"""
