@@ -48,14 +48,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.table_path = path
+    _paths.append(path)
     return out
 
 
+_paths: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _paths:
+        _paths.remove(path)
+
+
 def forget(*tables: DataFrame) -> None:
     """Removes tables of written() that nothing reads any more."""
     for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.table_path)
-        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(t.sparkSession, t.table_path)
+
+
+def tables_so_far() -> int:
+    return len(_paths)
+
+
+def forget_since(mark: int, keep: DataFrame) -> None:
+    """Removes what written() has made since then and is still there, but for one table: what led to it is read no more."""
+    for path in _paths[mark:]:
+        if path != keep.table_path:
+            _delete(keep.sparkSession, path)
 
 
 #: Bytes of texts that go to a Python worker at once, unless the session says otherwise.
@@ -89,11 +110,12 @@ def light(batches, keeping: bool = False):
     if not keeping:
         _held.clear()
     yield from batches
-    release()
+    release(collect=not keeping)
 
 
-def release() -> None:
-    gc.collect()
+def release(collect: bool = True) -> None:
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # where there is no glibc
         ctypes.CDLL("libc.so.6").malloc_trim(0)

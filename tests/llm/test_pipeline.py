@@ -7,6 +7,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry_points
 import corpus_pipeline
+from quillstone.llm import common
 from quillstone.llm.common import written
 from quillstone.llm.queries import ORACLE_SQL, QUERIES
 
@@ -46,7 +47,9 @@ def test_stages_against_what_was_planted(spark, folder):
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, at).collect()
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     assert sum(r["length"] for r in pieces) == sum(len(tok.encode(r["text"]).ids) + 1 for r in after.values())
+    before = common.tables_so_far()
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, at).select("doc_id").collect()} == clean
+    assert common.tables_so_far() == before + 1  # the result alone is left
 
 
 def masked(text):
