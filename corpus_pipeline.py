@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstone.llm import decontam, langid, ngramjoin, packing, pii
-from quillstone.llm.common import table, written
+from quillstone.llm.common import forget_since, table, tables_so_far, written
 from quillstone.llm.queries import TOKENIZER
 
 
@@ -48,7 +48,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, mark = table(spark, sf_dir, "documents"), tables_so_far()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        forget_since(mark, docs)  # the tables that led to it
     return docs
