@@ -15,6 +15,7 @@ import os
 import re
 import sys
 from array import array
+from functools import cached_property
 
 from quillstone.llm.common import resident
 
@@ -50,11 +51,7 @@ class PieceEncoder:
     """
 
     def __init__(self, path: str, cache_entries: int = 150_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.most = cache_entries
+        self.path, self.most = path, cache_entries
         self.led: dict[str, bytes] = {}  # " " + key
         self.bare: dict[str, bytes] = {}
         spec = json.load(open(path, encoding="utf-8"))
@@ -62,6 +59,14 @@ class PieceEncoder:
         self.fast = self._compile(spec)
         self.one = self.fast._encode_single_piece if self.fast is not None and not any(re.fullmatch(" ?[A-Za-z]+", t) for t in self.added) else None
 
+    @cached_property
+    def library(self):
+        """Loaded only where a text needs it."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _compile(self, spec: dict):
         """A tiktoken encoder of the same merges, or None where the file is of another kind."""
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}

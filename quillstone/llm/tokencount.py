@@ -64,11 +64,11 @@ class ByteMachine:
         self.states, self.number, self.arcs, self.pairs = [start], {start: 0}, {}, {}
 
     def _go_together(self, a: int, b: int) -> bool:
-        got = self.pairs.get((a, b))
+        got = self.pairs.get(a << 32 | b)
         if got is None:
             got = self.one(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
             if len(self.pairs) < self.most:
-                self.pairs[a, b] = got
+                self.pairs[a << 32 | b] = got
         return got
 
     def _step(self, state: tuple, byte: int) -> tuple[tuple, int]:
@@ -115,7 +115,7 @@ class ByteMachine:
 class CountTransducer:
     """weight(stretch): tokens emitted on the path from S to S of that label."""
 
-    def __init__(self, path: str, arcs: int = 150_000, states: int = 200_000):
+    def __init__(self, path: str, arcs: int = 100_000, states: int = 150_000):
         self.encoder = bpe.PieceEncoder(path, 0)
         self.most, self.led, self.bare, self.n_states = arcs, {}, {}, states
 
