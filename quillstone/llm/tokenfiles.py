@@ -90,7 +90,7 @@ def decode_segment(data: bytes, start: int = 0, stop: int | None = None) -> np.n
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, planes: int = 4, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes each text, appends end_id and writes segments in ascending id order to path.
 
-    Null ids come first, equal ids in order of their texts, null texts count as empty;
+    Null ids come first, equal ids in order of a hash of their texts, null texts count as empty;
     repeated rows are written each; other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -122,7 +122,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
     small_batches(docs.sparkSession)
     n = shards or partitions(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartitionByRange(n, "id").sortWithinPartitions("id", "text")
+    # rows of one id are split as well, by a hash of their texts; rows that repeat both, by any number
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"), F.monotonically_increasing_id().alias("any"))
+    rows = rows.repartitionByRange(n, "id", "h", "any").sortWithinPartitions("id", "h", "text").select("id", "text")
     out = rows.mapInArrow(write, f"shard int, seq int, shard_start long, n_ids long, doc_ids array<{kind}>, doc_n_ids array<long>, segment binary")
     out.write.option("compression", "none").parquet(path)
 
