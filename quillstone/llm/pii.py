@@ -33,12 +33,14 @@ MATCH = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: What stands behind a word for secrets, and may be quoted, without the quotes.
-SECRET = r"(?<=(?i:token|secret|password|passwd|api[_-]?key)[\x20\t]{0,3}[:=][\x20\t]{0,3}[\x22\x27]?)(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_-]{16,}+"
+#: Published formats of keys (fixed values), and what stands behind a word for secrets, which may be quoted, without the quotes.
+KEYS = ("(?:AKIA|ASIA)[0-9A-Z]{16}", "gh[pousr]_[A-Za-z0-9]{36}", "xox[abprs]-[A-Za-z0-9-]{10,}+", r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+")
+CALLED = r"(?<=(?i:token|secret|password|passwd|api[_-]?key)[\x20\t]{0,3}[:=][\x20\t]{0,3}[\x22\x27]?)(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_-]{16,}+"
+SECRET = rf"(?<![A-Za-z0-9])(?:{'|'.join(KEYS)})(?![A-Za-z0-9])|{CALLED}"
 #: Kinds that are found where the text is: the base ones and secrets.
 SEEDS = (*KINDS, "secret")
 #: Any text with a match has this.
-HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "secret": r"(?i)(?:token|secret|password|passwd|api[_-]?key)[\x20\t]{0,3}[:=]"}
+HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "secret": r"A[KS]IA|gh[pousr]_|xox[abprs]-|eyJ|(?i:token|secret|password|passwd|api[_-]?key)[\x20\t]{0,3}[:=]"}
 TOKEN = r"(?:(?<!\S)|(?<=[:=#]))[^\s0-9@:=#]*+[0-9@]\S*+"  # a word, without a cue that it begins with
 WORD = r"[\p{L}\p{N}]+"
 FIRST_WORDS = r"^[^\p{L}\p{N}]*+[\p{L}\p{N}]++(?:[^\p{L}\p{N}]++[\p{L}\p{N}]++){0,2}+"
@@ -67,7 +69,7 @@ def _valid(kind: str, m: str) -> str:
         "ip": f"{m} rlike r'^(?:0*(?:[0-9]{{1,2}}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])(?:\\.|$)){{4}}'",
         "card": f"length({d}) between 13 and 19 and {_luhn(d)}",
         "phone": f"length({d}) between 9 and 15",
-        "secret": f"{m} rlike '[0-9]' and {m} rlike '[A-Za-z]'",
+        "secret": f"{m} rlike r'^(?:{'|'.join(KEYS)})$' or ({m} rlike '[0-9]' and {m} rlike '[A-Za-z]')",
     }[kind]
 
 
@@ -239,8 +241,8 @@ def masked(text: str, spans: str) -> str:
 def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """docs with every span, base, secret and added everywhere, replaced by its kind in brackets; chars_col, if there, is counted anew.
 
-    Seeds are found again where the text is, so texts are moved only if contexts have
-    discovered anything. Null texts stay null; repeated rows are masked alike; other columns
+    Seeds are found again where the text is; what contexts have discovered is joined by id
+    and text's hash, and texts are moved for that only if it is too large to be broadcast. Null texts stay null; repeated rows are masked alike; other columns
     are passed on, whatever their names; an empty table gives no rows.
     """
     found = scan(docs, id_col, text_col)
@@ -251,9 +253,10 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_
     span = lambda k, of: f"transform({of}, x -> named_struct('kind', '{k}', 'start', x.start, 'end', x.end))"
     rows = rows.withColumn("spans", F.expr(f"concat({', '.join(span(k, k) for k in SEEDS)})")).select("row", "own", "text", "spans")
     if not learned.isEmpty():
-        added = _added(free, learned).select("id", "th", F.struct("kind", "start", "end").alias("x")).groupBy("id", "th").agg(F.collect_set("x").alias("added"))
+        # written, so that Spark knows its size: texts are moved only if it is too large to be broadcast
+        added = written(_added(free, learned).select("id", "th", F.struct("kind", "start", "end").alias("x")).groupBy("id", "th").agg(F.collect_set("x").alias("added")), "pii-added")
         on = F.col("own").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("th"))
-        rows = rows.hint("merge").join(added, on, "left").withColumn("spans", F.expr("if(added is null, spans, concat(spans, added))"))
+        rows = rows.join(added, on, "left").withColumn("spans", F.expr("if(added is null, spans, concat(spans, added))"))
     rows = rows.withColumn("masked", F.expr(f"if(size(spans) > 0, {masked('text', 'spans')}, null)"))
     own = {c: F.col("row").getField(c) for c in docs.columns}
     new = {text_col: F.coalesce("masked", own[text_col])}

@@ -268,6 +268,9 @@ def test_secrets(spark):
     got = {r["doc_id"]: (r["spans"], r["n_secret"], r["n_added"]) for r in pii.find(df, everywhere=True).collect()}
     assert got[0] == ("secret:12:32", 1, 0) and got[1] == ("secret:7:27", 1, 0) and got[2] == ("secret:9:29", 1, 0)
     assert got[4] == got[5] == ("", 0, 0)
+    keys = [f"id AKIA{'ABCDEFGH' * 2} x", f"xAKIA{'ABCDEFGH' * 2}", f"AKIA{'ABCDEFGH' * 2}9", f"ghp_{'a1' * 18}."]
+    more = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(list(enumerate(keys)), "doc_id long, text string")).collect()}
+    assert more == {0: "secret:3:23", 1: "", 2: "", 3: "secret:0:40"}
     assert {r["doc_id"]: r["text"] for r in pii.mask(df).collect()}[0] == 'so token = "[SECRET]" and'
 
 
