@@ -178,6 +178,18 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert keep_clean(docs, bench).count() == 2
 
 
+def test_decontamination_of_repetitive_texts(spark):
+    """One word over and over, and a short period, in items and texts; and a text that is one very long word."""
+    items = [(1, "a " * 12), (2, "a b " * 8), (3, "a b c d e f"), (4, "a b c d e f")]
+    rows = [(1, "a " * 300), (2, "b a " * 60), (3, "x a b c y"), (4, "w" * 200_000), (5, "e f a b c d e f a b"), (6, " ".join("ab"[i * i % 7 % 2] for i in range(80)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["item_ids"], r["coverage"]) for r in decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for i, t in rows:
+        c = brute_coverage(items, t)
+        assert got[i] == (sorted(k for k, v in c.items() if v >= 0.5), max(c.values()))
+    assert got[1][0] == [1] and got[5][0] == [3, 4] and got[4] == ([], 0.0)
+
+
 def test_decontamination_by_an_item_without_id(spark):
     text = " ".join(f"t{j}" for j in range(8))
     docs = spark.createDataFrame([(1, text), (None, text), (3, "nothing of it"), (4, None)], "doc_id long, text string")

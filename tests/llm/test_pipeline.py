@@ -115,6 +115,18 @@ def test_stages_take_empty_tables(spark, folder):
         assert stage(spark, docs, folder[0]).count() == 0
 
 
+def test_a_cluster_has_to_name_its_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    made = {}
+    conf = SimpleNamespace(get=lambda k, d=None: made.get(k, d), set=made.__setitem__)
+    for master in ("yarn", "local-cluster[3,2,1000]", "spark://host:7077"):
+        with pytest.raises(ValueError):
+            common.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master)))
+    assert not made
+    assert common.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local[2]"))) == made["spark.checkpoint.dir"]
+
+
 def test_registry():
     assert {re.match(r"op(\d+)_", q)[1] for q in QUERIES} == {str(n) for n in range(1, 11)} and len(QUERIES) == 10
     assert set(QUERIES) | {"pipeline"} <= set(entry_points.queries())
