@@ -1,11 +1,10 @@
-"""Byte-level BPE over space-led pieces, exact for whole texts.
-
-A byte-level pre-tokenizer always cuts between a character that is no white
-space and a white-space character. A text cut there falls into pieces whose
-ids do not depend on their neighbours, so ids are looked up piece by piece in
-a bounded cache. Missing pieces are merged by tiktoken with the vocabulary of
-the given tokenizers file; pieces that hold an added token, and files of any
-other kind, go to the tokenizers library itself.
+"""Byte-level BPE, exact for whole texts.
+
+Texts are encoded by tiktoken with the vocabulary, merges and pre-tokenizer pattern of the
+given tokenizers file; what holds an added token, and files of any other kind, go to the
+tokenizers library itself. A byte-level pre-tokenizer always cuts between a character that
+is no white space and a white-space character, so a text cut there falls into pieces whose
+ids do not depend on their neighbours.
 """
 
 from __future__ import annotations
@@ -19,6 +18,10 @@ from functools import cached_property
 
 from quillstone.llm.common import resident
 
+#: Code points encoded at once, but for a longer stretch without a place to cut.
+PASS = 1 << 20
+#: Longer runs of white space are left to the library.
+BLANK = 100_000
 #: Pieces of this many characters or more are not kept.
 LONGEST = 64
 #: A space after white space: there, cutting at every space is not safe.
@@ -45,19 +48,16 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class PieceEncoder:
-    """encode(text) -> ids as little-endian unsigned 32-bit bytes, as the library gives them.
-
-    cache_entries and LONGEST bound memory: a full cache takes no more pieces, later new ones are merged again.
-    """
+    """encode(text) -> ids as little-endian unsigned 32-bit bytes, as the library gives them."""
 
-    def __init__(self, path: str, cache_entries: int = 150_000):
-        self.path, self.most = path, cache_entries
-        self.led: dict[str, bytes] = {}  # " " + key
-        self.bare: dict[str, bytes] = {}
+    def __init__(self, path: str):
+        self.path = path
         spec = json.load(open(path, encoding="utf-8"))
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.fast = self._compile(spec)
-        self.one = self.fast._encode_single_piece if self.fast is not None and not any(re.fullmatch(" ?[A-Za-z]+", t) for t in self.added) else None
+        # for words, where no added token can be in them
+        plain = any(all(c.isalpha() or c == " " for c in t) for t in self.added)
+        self.one = self.fast._encode_single_piece if self.fast is not None and not plain else None
 
     @cached_property
     def library(self):
@@ -88,45 +88,25 @@ class PieceEncoder:
     def pieces_are_exact(self) -> bool:
         return self.fast is not None
 
-    def _ids(self, piece: str) -> bytes:
-        if self.one is not None and piece.isascii() and piece.removeprefix(" ").isalpha():
-            ids = self.one(piece)  # the pre-tokenizer does not cut it
-        elif self.fast is None or any(t in piece for t in self.added):
-            ids = self.library.encode(piece, add_special_tokens=False).ids
-        else:
-            ids = self.fast.encode_ordinary(piece)
-        return _packed(ids)
-
-    def piece(self, piece: str) -> bytes:
-        got = self.bare.get(piece)
-        if got is None:
-            got = self._ids(piece)
-            if len(self.bare) < self.most and len(piece) < LONGEST:
-                self.bare[piece] = got
-        return got
-
-    def _look(self, parts: list[str]) -> list[bytes]:
-        led = self.led
-        out = list(map(led.get, parts))
-        if None in out:
-            for n, p in enumerate(parts):
-                if out[n] is None:
-                    out[n] = got = self._ids(" " + p)
-                    if len(led) < self.most and len(p) < LONGEST:
-                        led[p] = got
-        return out
-
-    def parts(self, text: str) -> list[bytes]:
-        """Ids of each piece, in order."""
-        if self.fast is None:
-            return [self._ids(text)]
-        if _TIGHT.search(text):
-            return [self.piece(p) for p in _RUNS.findall(text)]
-        first, *rest = text.split(" ")
-        return [self.piece(first) if first else b"", *self._look(rest)]
+    def ids(self, text: str) -> list[int]:
+        # tiktoken's pattern fails on white space of about a million characters
+        blank = len(text) > BLANK and max(map(len, re.findall(r"\s+", text)), default=0) > BLANK
+        if self.fast is None or blank or any(t in text for t in self.added):
+            return self.library.encode(text, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(text)
 
     def encode(self, text: str) -> bytes:
-        return b"".join(self.parts(text)) if text else b""
+        """Of a long text some at a time, cut where a space or line feed follows what is no white space."""
+        if self.fast is None or len(text) <= PASS:
+            return _packed(self.ids(text)) if text else b""
+        out, lo = [], 0
+        while lo < len(text):
+            hi = lo + PASS
+            while hi < len(text) and not (text[hi] in " \n" and not text[hi - 1].isspace()):
+                hi += 1
+            out.append(_packed(self.ids(text[lo:hi])))
+            lo = hi
+        return b"".join(out)
 
 
 def encoder(path: str) -> PieceEncoder:

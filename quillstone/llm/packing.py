@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import bpe
-from quillstone.llm.common import forget, id_texts, light, partitions, row_ids, small_batches, written
+from quillstone.llm.common import id_texts, light, partitions, row_ids, small_batches, written
 
 #: An epoch ends after GENERATIONS children, or at once where a packing has as few sequences as the tokens need.
-BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4096, 3, 2, 100, 12
+BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4096, 3, 2, 100, 8
 #: A sequence filled to this share is never taken apart by pooling.
 WELL_FILLED = 0.97
 
@@ -128,6 +128,8 @@ def evolve(sizes: np.ndarray, start: list[np.ndarray], seed: int, capacity: int)
     least = -(-int(sizes.sum()) // capacity)
     people = list(start)
     for k in range(POPULATION - len(people)):
+        if people and min(int(p.max()) + 1 for p in people) <= least:
+            break
         # decreasing sizes; all but the first individual with a little disorder
         noise = np.random.default_rng(rnd.getrandbits(32)).random(len(sizes)) * (0 if k + len(start) == 0 else 4 ** (k % 5 + 1))
         people.append(best_fit(np.empty(len(sizes), np.int64), np.argsort(-(sizes + noise), kind="stable").tolist(), size_list, [], capacity))
@@ -142,23 +144,27 @@ def evolve(sizes: np.ndarray, start: list[np.ndarray], seed: int, capacity: int)
 
 
 def _epoch(rows: DataFrame, capacity: int, epoch: int) -> DataFrame:
-    """rows: block, island, sizes, packings (binary int32 arrays). Adds the island's best packing."""
+    """rows: block, island, sizes, packings (binary int32 arrays). Gives the island's best packing in their place."""
 
     def run(batches):
-        for batch in batches:
+        for batch in light(batches, keeping=True):
             out = []
             for block, island, sizes, packings in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 s = np.array(sizes, np.int64)
                 best = evolve(s, [np.frombuffer(p, "<i4").astype(np.int64) for p in packings], hash((block, island, epoch)), capacity)
                 n, even = fitness(best, s, capacity)
-                out.append((block, island, -n, even, best.astype("<i4").tobytes()))
-            cols = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.binary())],
-                names=["block", "island", "bins", "even", "packing"],
-            )
+                out.append((-n, even, best.astype("<i4").tobytes()))
+            bins, even, packing = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(bins, pa.int64()), pa.array(even, pa.float64()), pa.array(packing, pa.binary())], names=["block", "island", "sizes", "bins", "even", "packing"])
+
+    return rows.mapInArrow(run, "block long, island int, sizes array<long>, bins long, even double, packing binary")
+
 
-    return rows.mapInArrow(run, "block long, island int, bins long, even double, packing binary")
+def _migrated(elites: DataFrame, islands: int) -> DataFrame:
+    """Each island starts the next epoch with its own elite and its neighbour's; a block has `islands` rows."""
+    all_of = elites.groupBy("block").agg(F.first("sizes").alias("sizes"), F.array_sort(F.collect_list(F.struct("island", "packing"))).alias("all"))
+    isle = F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island")
+    return all_of.select("block", isle, "sizes", "all").select("block", "island", "sizes", F.expr(f"array_distinct(array(all[island].packing, all[(island + {islands - 1}) % {islands}].packing))").alias("packings"))
 
 
 def pack_items(items: DataFrame, capacity: int, block: int = BLOCK, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
@@ -174,13 +180,10 @@ def pack_items(items: DataFrame, capacity: int, block: int = BLOCK, islands: int
     isles = F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island")
     # the search is work for the processor, whatever the bytes
     n = max(partitions(spark), min(n_blocks * islands // 4, 100_000))
-    elites = _epoch(blocks.select("block", isles, sizes, F.expr("array()").cast("array<binary>").alias("packings")).repartition(n, "block", "island"), capacity, 0)
-    for epoch in range(1, epochs):
-        elites = written(elites, "pack-elites")
-        guest = elites.select("block", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), F.col("packing").alias("guest"))
-        joined = elites.join(guest, ["block", "island"]).join(blocks.select("block", sizes), "block")
-        rows = joined.select("block", "island", "sizes", F.array_distinct(F.array("packing", "guest")).alias("packings"))
+    rows = blocks.select("block", isles, sizes, F.expr("array()").cast("array<binary>").alias("packings"))
+    for epoch in range(epochs):
         elites = _epoch(rows.repartition(n, "block", "island"), capacity, epoch)
+        rows = _migrated(elites, islands)
     best = elites.groupBy("block").agg(F.min(F.struct("bins", -F.col("even"), "island", "packing")).alias("best"))
 
     def place(batches):

@@ -116,7 +116,7 @@ class CountTransducer:
     """weight(stretch): tokens emitted on the path from S to S of that label."""
 
     def __init__(self, path: str, arcs: int = 100_000, states: int = 150_000):
-        self.encoder = bpe.PieceEncoder(path, 0)
+        self.encoder = bpe.PieceEncoder(path)
         self.most, self.led, self.bare, self.n_states = arcs, {}, {}, states
 
     @cached_property
@@ -128,7 +128,7 @@ class CountTransducer:
         if stretch.isascii() and stretch.removeprefix(" ").isalpha() and self.encoder.one is not None:
             return self.machine.read(stretch.encode())  # the pre-tokenizer does not cut it
         if any(t in stretch for t in self.encoder.added) or _STABLE.fullmatch(stretch) is None:
-            return len(self.encoder._ids(stretch)) // 4
+            return len(self.encoder.ids(stretch))
         return sum(self.machine.read(p.encode()) for p in _PIECES.findall(stretch))
 
     def weight(self, stretch: str) -> int:
@@ -274,7 +274,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
     kind = rows.schema["id"].dataType.simpleString()
-    if tokenizer_path.endswith(".model") or not bpe.PieceEncoder(tokenizer_path, 0).pieces_are_exact:
+    if tokenizer_path.endswith(".model") or not bpe.PieceEncoder(tokenizer_path).pieces_are_exact:
 
         def count(batches):
             n_of = _library(tokenizer_path)

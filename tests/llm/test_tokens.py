@@ -14,7 +14,7 @@ from quillstone.llm.tokencount import CountTransducer, count_tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
-ENCODER, MACHINE = PieceEncoder(PATH, 500), CountTransducer(PATH, 500)
+ENCODER, MACHINE = PieceEncoder(PATH), CountTransducer(PATH, 500)
 PARTS = ["a", "the", "Straße", " ", "  ", "\n", "\t", "'s", "'", ".", "!", "1", "23", "é", "中文", "\u00a0", "<|endoftext|>", "<|end", "\x1c", "\x85", "😀", "\u200b"]
 texts = st.lists(st.sampled_from(PARTS), max_size=25).map("".join)
 ROWS = [(1, "The cat sat. " * 400, 7), (2, None, 7), (3, "", 7), (None, "no id", 7), (5, "the cat  sat\n\n<|endoftext|> x ", 7), (5, "the cat  sat\n\n<|endoftext|> x ", 7), (4, "w" * 5000, 7)]
@@ -31,6 +31,14 @@ def test_pieces_give_the_librarys_ids(text):
     assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == ids(text)
 
 
+@pytest.mark.parametrize("text", ["w" * 300_000, " " * 300_000 + "x", "\n" * 100_000 + " y", "a b " * 100_000, "1" * 100_000, "é" * 100_000])
+def test_long_runs(text, monkeypatch):
+    from quillstone.llm import bpe
+
+    monkeypatch.setattr(bpe, "PASS", 1000)
+    assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == ids(text)
+
+
 @settings(max_examples=400, deadline=None)
 @given(texts, st.integers(1, 9))
 def test_state_maps_compose_to_the_librarys_count(text, chunk):
