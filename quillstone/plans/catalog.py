@@ -333,19 +333,19 @@ def sort_limit_ties(spark, sf_dir):
 # -- statistics and workloads ------------------------------------------------------------
 
 
-@_query(" UNION ALL ".join(f"SELECT '{c}' AS name, count(*) AS n, count(*) - count({c}) AS nulls, min({c})::DOUBLE AS lo, max({c})::DOUBLE AS hi FROM lineitem" for c in ("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount")))
+@_query(" UNION ALL ".join(f"SELECT '{c}' AS name, count(*) AS n, count(*) - count({c}) AS nulls, min({c})::DOUBLE + 0.0::DOUBLE AS lo, max({c})::DOUBLE AS hi FROM lineitem" for c in ("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount")))
 def stats_analyze_lineitem(spark, sf_dir):
     names = ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount"]
     stats = analyze(_table(spark, sf_dir, "lineitem").scan(names))
-    return spark.createDataFrame([(n, c.rows, c.nulls, float(c.min), float(c.max)) for n, c in stats.columns.items()], "name string, n long, nulls long, lo double, hi double")
+    return spark.createDataFrame([(n, c.rows, c.nulls, float(c.min) + 0.0, float(c.max)) for n, c in stats.columns.items()], "name string, n long, nulls long, lo double, hi double")
 
 
 STATISTICS = ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount"]
-BOUNDS = " UNION ALL ".join(f"SELECT '{c}' AS name, count(*) AS n, count(*) - count({c}) AS nulls, min({c})::DOUBLE AS lo, max({c})::DOUBLE AS hi FROM lineitem" for c in STATISTICS)
+BOUNDS = " UNION ALL ".join(f"SELECT '{c}' AS name, count(*) AS n, count(*) - count({c}) AS nulls, min({c})::DOUBLE + 0.0::DOUBLE AS lo, max({c})::DOUBLE AS hi FROM lineitem" for c in STATISTICS)
 
 
 def _bounds(spark, stats) -> DataFrame:
-    return spark.createDataFrame([(n, c.rows, c.nulls, float(c.min), float(c.max)) for n, c in stats.columns.items() if n in STATISTICS], "name string, n long, nulls long, lo double, hi double")
+    return spark.createDataFrame([(n, c.rows, c.nulls, float(c.min) + 0.0, float(c.max)) for n, c in stats.columns.items() if n in STATISTICS], "name string, n long, nulls long, lo double, hi double")
 
 
 @_query(BOUNDS)
