@@ -125,7 +125,7 @@ class CountTransducer:
 
     def _emit(self, stretch: str) -> int:
         """By the machine, piece by piece; what holds an added token or an odd character by the library."""
-        if stretch.isascii() and stretch.removeprefix(" ").isalpha() and self.encoder.one is not None:
+        if stretch.removeprefix(" ").isalpha() and (stretch.isascii() or max(stretch) < "\u0530") and self.encoder.one is not None:
             return self.machine.read(stretch.encode())  # the pre-tokenizer does not cut it
         if any(t in stretch for t in self.encoder.added) or _STABLE.fullmatch(stretch) is None:
             return len(self.encoder.ids(stretch))
