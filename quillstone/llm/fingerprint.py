@@ -4,10 +4,11 @@ A text is read as words (runs of letters, marks and digits, lower-cased, cut at
 characters). Of the K-word windows those are kept whose smallest inner S-word hash
 stands at either edge. Whether a window is kept depends on its own words alone, so an
 unchanged passage keeps its anchors wherever it stands. A fingerprint holds anchors with
-their places: all of them for short texts, for longer ones the half or the quarter whose
-hashes end in one or two zero bits (level 1 or 2), at any length. Two fingerprints are
-compared by positional matching: anchors with equal hashes match, and a match counts if
-another one has the same shift of places, as those in a common passage have.
+their places: all of them, at any length (level 0). Thinned fingerprints, for callers that
+can do with less, hold of longer texts the half or the quarter whose hashes end in one or
+two zero bits (level 1 or 2). Two fingerprints are compared by positional matching: anchors
+with equal hashes match, and a match counts if another one has the same shift of places,
+as those in a common passage have.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import partitions
 
 K, S = 5, 2
-#: Up to so many windows all anchors are kept, up to so many half of them, then a quarter.
+#: Thinned fingerprints keep all anchors up to so many, up to so many half of them, then a quarter.
 ALL, HALF = 256, 1024
 #: Ranges of ids at most; each holds any number of rows, which Spark sorts with spilling.
 MOST_RANGES = 10_000
@@ -44,14 +45,15 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     return df.withColumn(out, F.expr(f"if(size({out}) > 0, {out}, {few})")).drop(w, h)
 
 
-def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
+def with_fingerprint(df: DataFrame, text: str, out: str, thinned: bool) -> DataFrame:
     """Adds `out`: struct<level, anchors>; anchors: array of longs, hash (30 bits) << 33 | place, ascending.
 
-    Of anchors with equal hashes the first is kept.
+    Of anchors with equal hashes the first is kept. Thinned ones change with the number of
+    anchors, and repetitive texts may be left without any, so that different texts look equal.
     """
     a, s, v = f"_a_{out}", f"_s_{out}", f"_v_{out}"
     df = with_anchors(df, text, a)
-    df = df.withColumn(s, F.expr(f"case when size({a}) <= {ALL} then 0 when size({a}) <= {HALF} then 1 else 2 end"))
+    df = df.withColumn(s, F.expr(f"case when size({a}) <= {ALL} then 0 when size({a}) <= {HALF} then 1 else 2 end" if thinned else "0"))
     code = "shiftleft(shiftrightunsigned(x.hash, 34), 33) + x.at"
     df = df.withColumn(v, F.expr(f"array_sort(transform(filter({a}, x -> shiftrightunsigned(x.hash, 34) % shiftleft(1L, {s}) = 0), x -> {code}))"))
     first = f"filter({v}, (x, i) -> i = 0 or shiftright(x, 33) != shiftright(get({v}, i - 1), 33))"
@@ -113,14 +115,15 @@ def ranges(ids: DataFrame, col: str, parts: int) -> tuple[Column, DataFrame]:
     return F.when(F.col(col).isNull() | (F.col(col) < cuts[0]), 0).otherwise((run - 1) * step + inside), table
 
 
-def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thinned: bool = True) -> DataFrame:
     """Fingerprints of each text, of its edited text, and their likeness.
 
     The edited text has its last floor(n/2) code points replaced by the first as many (or
     all) of the next text by ascending id; the last one's next is the first. Returns id,
     n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     Null texts count as empty; null ids come first; rows of one id are ordered by text;
-    a lone row is its own next; other columns are not read. ids are integers.
+    a lone row is its own next; other columns are not read. ids are integers. With
+    thinned=False every anchor of every text is kept and compared.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -128,17 +131,17 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     span, firsts = ranges(rows, "id", max(4 * partitions(spark), min(ceil(n / 5000), MOST_RANGES)))
     n_spans = firsts.count()
     # texts alone cross the shuffle; fingerprints are made behind it
-    own = with_fingerprint(rows.withColumn("span", span).repartition("span"), "text", "print")
+    own = with_fingerprint(rows.withColumn("span", span).repartition("span"), "text", "print", thinned)
     by = Window.partitionBy("span").orderBy(F.col("id").asc_nulls_first(), "text")
     led = own.withColumn("next", F.lead(F.struct("text", "print")).over(by))
     # the first row of each range, at most MOST_RANGES of them: nulls, or those of its smallest id
     heads = rows.join(F.broadcast(firsts), F.col("id") == F.col("first")).select("span", "id", "text")
     heads = heads.unionAll(rows.filter("id is null").select(F.lit(0).alias("span"), "id", "text"))
     heads = heads.groupBy("span").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "text")).alias("f")).select("span", F.col("f.text").alias("text"))
-    heads = with_fingerprint(heads, "text", "print").select(F.pmod(F.col("span") - 1, F.lit(n_spans)).alias("of"), F.struct("text", "print").alias("after"))
+    heads = with_fingerprint(heads, "text", "print", thinned).select(F.pmod(F.col("span") - 1, F.lit(n_spans)).alias("of"), F.struct("text", "print").alias("after"))
     out = led.join(heads, (led["span"] == heads["of"]) & led["next"].isNull(), "left").select("id", "text", "print", F.coalesce("next", "after").alias("next"))
     out = out.withColumn("n_chars", F.char_length("text").cast("long"))
     out = out.select("id", "n_chars", "print", F.col("next.print").alias("next_print"), F.expr("concat(left(text, cast(n_chars - n_chars div 2 as int)), left(next.text, cast(n_chars div 2 as int)))").alias("edited"))
-    out = with_fingerprint(out, "edited", "edited_print")
+    out = with_fingerprint(out, "edited", "edited_print", thinned)
     out = with_likeness(with_likeness(out, "print", "edited_print", "near_edited"), "print", "next_print", "near_next")
     return out.select(F.col("id").alias(id_col), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text("print").alias("fingerprint"), as_text("edited_print").alias("edited_fingerprint"), "near_edited", "near_next")

@@ -34,7 +34,7 @@ ORACLE_SQL: dict[str, str] = {}
 def op3_fingerprints(spark, sf_dir):
     from quillstone.llm.fingerprint import edited_fingerprints
 
-    return edited_fingerprints(table(spark, sf_dir, "documents"))
+    return edited_fingerprints(table(spark, sf_dir, "documents"), thinned=False)
 
 
 def op8_pii(spark, sf_dir):

@@ -147,6 +147,43 @@ def test_likeness_against_brute_force(spark):
     assert got[len(texts)]["near_next"] == 1.0
 
 
+def brute_whole(text):
+    """(0, {hash: first place}) of all anchors: those of overlapping stretches of 100 windows each."""
+    ws, out = re.findall("[^\\W_]{1,8}", text.lower()), {}
+    if len(ws) <= 104:
+        return brute_print(text)
+    for k in [*range(0, len(ws) - 104, 100), len(ws) - 104]:
+        level, anchors = brute_print(" ".join(ws[k : k + 104]))
+        assert level == 0
+        for h, i in anchors.items():
+            out[h] = min(out.get(h, k + i), k + i)
+    return 0, out
+
+
+def test_query_keeps_all_anchors_at_any_length(spark, tmp_path):
+    from quillstone.llm import queries
+
+    rng = np.random.default_rng(15)
+    vocabulary = [f"wort{i}" for i in range(500)]
+    words = rng.choice(vocabulary, 9000).tolist()
+    # around 256 and 1,024 anchors, beyond, and a copy with another middle
+    texts = [" ".join(words[:n]) for n in (4, 300, *range(500, 530, 3), *range(2030, 2060, 5), 9000)] + [" ".join([*words[:4000], "new", *words[4100:]])]
+    # a few different anchors in many words: none of them is there to be left out
+    texts += [f"{c} " * n for c in "abcdefgh" for n in (300, 3000)] + ["", "!!"]
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op3_fingerprints(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for i, t, e, nxt in brute_edited(rows):
+        own, edited = brute_whole(t), brute_whole(e)
+        as_text = lambda p: " ".join(["0", *(f"{h:08x}{i:x}" for h, i in sorted(p[1].items()))])
+        assert (got[i]["fingerprint"], got[i]["edited_fingerprint"]) == (as_text(own), as_text(edited))
+        assert abs(got[i]["near_edited"] - brute_likeness(own, edited)) < 1e-12
+        assert abs(got[i]["near_next"] - brute_likeness(own, brute_whole(nxt))) < 1e-12
+    # texts of 3,000 equal words differ from those of 300 other ones that come next
+    assert all(got[i]["near_next"] == 0 for i, t in rows if t.startswith(tuple("abcdefg")) and len(t) == 6000)
+
+
 def test_fingerprints(spark):
     rng = np.random.default_rng(4)
     vocabulary = [f"wort{i}" for i in range(3000)]
