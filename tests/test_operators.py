@@ -1,10 +1,13 @@
 import collections
+import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillstone.functions import Type, col, lit
 from quillstone.operators import Aggregate, Named, SortKey, aggregate, filter_rows, inner_join, limit_rows, project, sort_rows
+from quillstone.plans import catalog
 from quillstone.plans.explain import explain
 from quillstone.sources import MemoryTable
 
@@ -102,6 +105,29 @@ def test_random_composite_join_against_nested_loops(frame):
     assert sorted(rows(got)) == sorted((*p, *q) for p in x for q in y if p == q and p[0] is not None)
 
 
+def test_tiles_of_a_join_against_nested_loops(frame):
+    rnd = random.Random(5)
+    make = lambda n: [(rnd.choice([1, 1, 1, 2, 3, None]), rnd.randrange(9)) for _ in range(n)]
+    x, y = make(160), make(90)
+    left, right = frame("a bigint, __v bigint", x), frame("c bigint, d bigint", y)
+    want = sorted((*p, *q) for p in x for q in y if p[0] == q[0] and p[0] is not None)
+    for build in (None, "left", "right"):
+        for tiles in (1, 2, 7):
+            got = inner_join(left, right, ["a"], ["c"], build, tiles=tiles)
+            assert got.columns == ["a", "__v", "c", "d"] and sorted(rows(got)) == want
+    with pytest.raises(ValueError):
+        inner_join(left, right, ["a"], ["c"], tiles=0)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_pairs_of_few_keys_are_dealt_to_all_tasks(spark, frame):
+    by_task = lambda df: sorted(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+    one_key = inner_join(frame("a bigint, v bigint", [(1, i) for i in range(400)]), frame("b bigint, w bigint", [(1, i) for i in range(50)]), ["a"], ["b"], "right", tiles=32)
+    for df in (one_key, catalog.join_duplicates(spark, "/root/testdata/sf0.001")):
+        counts = by_task(df)
+        assert len(counts) == int(spark.conf.get("spark.sql.shuffle.partitions")) and counts[-1] < sum(counts) / 2
+
+
 def test_ieee_keys(frame):
     left, right = frame("x double", [(-0.0,), (0.0,), (NAN,), (NAN,), (1.0,)]), frame("y double", [(0.0,), (NAN,)])
     groups = rows(aggregate(left, ["x"], [Aggregate("n", "count")]))
