@@ -1,8 +1,10 @@
 import math
+import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quillstone.functions import Type, binary, col, describe, lit, null_literal, simplify
 from quillstone.functions.expr import Binary, Lit, apply, expression_type, referenced_columns, same
@@ -29,6 +31,49 @@ def test_integer_arithmetic(frame):
     assert one(df, x * y) == [14, None, 0, MAX, -14, None]
 
 
+EDGES = [None, 0, 1, 2, 7, -1, -2, -7, 3037000499, 3037000500, -3037000500, 1 << 62, -(1 << 62), -(1 << 62) - 1, MAX // 3, MAX // 3 + 1, MAX - 1, MAX, -MAX, -MAX - 1]
+
+
+@pytest.mark.parametrize("op", "+-*")
+def test_overflow_is_null_at_every_edge(frame, op):
+    df = frame("x bigint, y bigint", [(x, y) for x in EDGES for y in EDGES])
+    x, y = col("x"), col("y")
+    outs = {"flat": binary(op, x, y), "left": binary(op, x + lit(0), y), "right": binary(op, x, y - lit(0)), "both": binary(op, x * lit(1), y + lit(0)), "three": binary(op, binary(op, x, y), y), "large": binary(op, (x + y) - (x * y), (y + x) - (x + y))}
+    for r in project(df, [Named("x", "x"), Named("y", "y"), *(Named(n, e) for n, e in outs.items())]).collect():
+        want = apply(op, r.x, r.y)
+        assert [r.flat, r.left, r.right, r.both] == [want] * 4, (r.x, r.y)
+        total, times = apply("+", r.x, r.y), apply("*", r.x, r.y)
+        assert [r.three, r.large] == [apply(op, want, r.y), apply(op, apply("-", total, times), apply("-", total, total))], (r.x, r.y)
+
+
+@pytest.mark.parametrize("op", "+-*")
+def test_overflow_is_null_with_literals(frame, op):
+    df = frame("x bigint", [(x,) for x in EDGES])
+    for v in EDGES[1:]:
+        again = lit(MAX - 3) if op == "+" else lit(5)
+        outs = {"a": binary(op, col("x"), lit(v)), "b": binary(op, lit(v), col("x")), "c": binary(op, again, binary(op, col("x"), lit(v))), "d": binary(op, lit(v) + lit(0), binary(op, col("x"), again))}
+        for r in project(df, [Named("x", "x"), *(Named(n, e) for n, e in outs.items())]).collect():
+            k = again.value
+            assert tuple(r)[1:] == (apply(op, r.x, v), apply(op, v, r.x), apply(op, k, apply(op, r.x, v)), apply(op, v, apply(op, r.x, k))), (r.x, v)
+    assert set(one(df, binary(op, col("x"), null_literal(Type.INT64)))) == {None}
+    assert one(df.limit(1), binary(op, lit(MAX), lit(MAX))) == [apply(op, MAX, MAX)]
+
+
+def test_overflow_and_zero_cost_no_exceptions(spark):
+    """Rows that overflow, or divide by zero, take about as long as others, not a hundred times that."""
+    df = spark.range(2_000_000).select(F.col("id").alias("x"), (F.col("id") * 0.0).alias("z"))
+
+    def seconds(*exprs):
+        started = time.time()
+        project(df, [Named(f"v{i}", e) for i, e in enumerate(exprs)]).write.format("noop").mode("overwrite").save()
+        return time.time() - started
+
+    x, z = col("x"), col("z")
+    of = lambda n, d: (lit(n) + x, lit(-n) - x, lit(n) * (x + lit(2)), (x + lit(n)) + x, z / (z + lit(d)))
+    seconds(*of(1, 1.0))
+    assert seconds(*of(MAX, 0.0)) < 5 * seconds(*of(1, 1.0)) + 3
+
+
 def test_double_arithmetic(frame):
     df = frame("x double, y double", [(1.0, 0.0), (1.0, -0.0), (NAN, 0.0), (6.0, 4.0), (None, 1.0), (1e308, 1e-10)])
     assert one(df, col("x") / col("y"))[:5] == [None, None, None, 1.5, None]
